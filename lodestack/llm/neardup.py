@@ -337,3 +337,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     out = profile.select("doc_id", "n_shingles", "digest_a", "digest_b").join(named, ["digest_a", "digest_b"], "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def distinct_documents(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of `docs` whose doc_id is the smallest of its class, with all their columns.
+
+    Texts are not shuffled: the ids that go are few, and only they are joined with the rows.
+    """
+    gone = near_duplicates(docs, size, threshold).where(~F.coalesce("kept", F.lit(True))).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")

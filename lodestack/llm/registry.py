@@ -60,5 +60,169 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontaminate, op5_near_duplicates, op6_quality)}
-ORACLE_SQL: dict[str, str] = {}
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against dated lists of hosts and host paths.
+
+    `pages` has no fetch times and no lists, so both are derived: a page is fetched page_id days (of 366) after the
+    start of 2024, and a third of all hosts and host paths come on and off a list by digits of their MD5.
+    """
+    from . import urlfilter
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    day = lambda n: F.timestamp_seconds(F.unix_timestamp(F.to_timestamp(F.lit("2024-01-01 00:00:00"))) + n * 86_400)
+    captures = pages.withColumn("fetched_at", day(F.col("page_id") % 366))
+    keys = pages.select(F.explode(urlfilter.keys_of(F.col("url"))).alias("key")).where("size(split(key, '[.]')) > 2").distinct()
+    digit = lambda at, n: F.conv(F.substring(F.md5(F.col("key").cast("binary")), at, n), 16, 10).cast("long")
+    keys = keys.select("key", digit(1, 4).alias("h"), (digit(5, 4) % 300).alias("d")).where("h % 3 = 0")
+    verdict = F.when(F.col("h") % 15 == 0, "allow").otherwise("block")
+    log = keys.select("key", F.lit("main").alias("list"), verdict.alias("verdict"), F.col("h"), F.col("d"))
+    events = F.array(
+        F.struct(F.lit("add").alias("action"), F.col("d").alias("on")),
+        F.struct(F.when(F.col("h") % 2 == 0, F.lit("remove")).alias("action"), (F.col("d") + 30).alias("on")),
+        F.struct(F.when(F.col("h") % 4 == 0, F.lit("add")).alias("action"), (F.col("d") + 60).alias("on")),
+    )
+    entries = log.select("list", "key", "verdict", F.explode(events).alias("e")).select("list", "key", "verdict", "e.action", day(F.col("e.on")).alias("dated"))
+    judged = urlfilter.judge(captures, entries, identity="page_id")
+    return judged.select("page_id", "host", "blocked", F.size("matched").cast("long").alias("n_matched"), F.array_join("matched", ",").alias("matched"))
+
+
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(page_id % 366 AS INTEGER)) AS fetched,
+    regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1) AS host,
+    [x FOR x IN string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/') IF x <> ''] AS parts
+  FROM pages),
+k AS (
+  SELECT DISTINCT page_id, fetched, unnest(list_concat(
+    [array_to_string(string_split(host, '.')[i:], '.') FOR i IN range(1, len(string_split(host, '.')) + 1)],
+    [host || '/' || array_to_string(parts[1:i], '/') FOR i IN range(1, len(parts) + 1)])) AS key
+  FROM p WHERE host <> ''),
+h AS (
+  SELECT DISTINCT key, CAST('0x' || substr(md5(key), 1, 4) AS BIGINT) AS h, CAST('0x' || substr(md5(key), 5, 4) AS BIGINT) % 300 AS d
+  FROM k WHERE len(string_split(key, '.')) > 2),
+e AS (
+  SELECT key, h, 'add' AS action, d AS day FROM h WHERE h % 3 = 0
+  UNION ALL SELECT key, h, 'remove', d + 30 FROM h WHERE h % 3 = 0 AND h % 2 = 0
+  UNION ALL SELECT key, h, 'add', d + 60 FROM h WHERE h % 3 = 0 AND h % 4 = 0),
+s AS (
+  SELECT key, CASE WHEN h % 15 = 0 THEN 'allow' ELSE 'block' END AS verdict, action,
+    TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(day AS INTEGER)) AS f,
+    lead(TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(day AS INTEGER))) OVER (PARTITION BY key ORDER BY day) AS t
+  FROM e),
+m AS (
+  SELECT page_id, verdict, 'main:' || verdict || ':' || s.key AS entry
+  FROM k JOIN s ON k.key = s.key AND s.action = 'add' AND fetched >= f AND (t IS NULL OR fetched < t)),
+g AS (
+  SELECT page_id, string_agg(entry, ',' ORDER BY encode(entry)) AS matched, count(*) AS n, max(CASE verdict WHEN 'allow' THEN 1 ELSE 0 END) AS a, max(CASE verdict WHEN 'block' THEN 1 ELSE 0 END) AS b
+  FROM m GROUP BY page_id)
+SELECT p.page_id, p.host, coalesce(b = 1 AND a = 0, false) AS blocked, coalesce(n, 0) AS n_matched, coalesce(matched, '') AS matched
+FROM p LEFT JOIN g ON p.page_id = g.page_id
+"""
+
+
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every assistant message as a call, every user message after one as its result.
+
+    `conversations` has no calls, so they are derived: the identifier from conversation and turn, the tool and the
+    arguments from the text; every third message uses the call two turns before.
+    """
+    from . import chat
+
+    talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.col("text"), "[^A-Za-z ]", ""), " +", " "))
+    name = lambda turn: F.md5(F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string")).cast("binary"))
+    size = F.length("text")
+    tool = F.when(size % 4 == 0, "search").when(size % 4 == 1, "lookup").when(size % 4 == 2, "note").otherwise("paint")
+    arguments = F.concat(F.lit('{"query": "'), F.substring(plain, 1, 50), F.lit('", "pinned": '), (size % 2 == 0).cast("string"), F.lit(', "limit": '), (size % 10).cast("string"), F.lit("}"))
+    uses = F.when((size % 3 == 0) & (F.col("turn") >= 2), F.array(name(F.col("turn") - 2))).otherwise(F.array().cast("array<string>"))
+    calls = talk.where("role = 'assistant'").select("conv_id", "turn", name(F.col("turn")).alias("call_id"), tool.alias("name"), arguments.alias("arguments"), uses.alias("uses"))
+    results = talk.where("role = 'user'").select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.substring(plain, 1, 200).alias("content"))
+    schemas = {
+        "search": {"query": chat.Field("string", True, 8, 60), "limit": chat.Field("integer", True, 1, 9)},
+        "lookup": {"query": chat.Field("string", True, 1, 40), "region": chat.Field("string", False)},
+        "note": {"query": chat.Field("string", True, 1), "pinned": chat.Field("boolean")},
+    }
+    return chat.link(calls, results, schemas)
+
+
+OP4_SQL = """
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, role, length(text) AS n, trim(regexp_replace(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')) AS plain FROM conversations),
+c AS (
+  SELECT conv_id, turn, md5(concat(conv_id, ':', turn)) AS call_id,
+    CASE n % 4 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' WHEN 2 THEN 'note' ELSE 'paint' END AS name,
+    substr(plain, 1, 50) AS query, n % 2 = 0 AS pinned, n % 10 AS lim, CASE WHEN n % 3 = 0 AND turn >= 2 THEN turn - 2 END AS used
+  FROM t WHERE role = 'assistant'),
+o AS (
+  SELECT conv_id, turn, 0 AS depth FROM c WHERE used IS NULL
+  UNION SELECT c.conv_id, c.turn, o.depth + 1 FROM o JOIN c ON c.conv_id = o.conv_id AND c.used = o.turn),
+r AS (SELECT conv_id, turn - 1 AS turn, min(substr(plain, 1, 200)) AS content FROM t WHERE role = 'user' GROUP BY 1, 2)
+SELECT c.conv_id, c.turn, c.call_id, o.depth,
+  coalesce(o.depth IS NOT NULL AND CASE name WHEN 'search' THEN length(query) BETWEEN 8 AND 60 AND lim BETWEEN 1 AND 9
+    WHEN 'lookup' THEN length(query) BETWEEN 1 AND 40 WHEN 'note' THEN length(query) >= 1 ELSE false END, false) AS valid,
+  r.content IS NOT NULL AS linked,
+  '{"arguments":{"limit":' || lim || ',"pinned":' || pinned || ',"query":"' || query || '"},"id":"' || call_id || '","name":"' || name || '","result":' || coalesce('"' || content || '"', 'null') || '}' AS json
+FROM c LEFT JOIN o ON o.conv_id = c.conv_id AND o.turn = c.turn LEFT JOIN r ON r.conv_id = c.conv_id AND r.turn = c.turn
+"""
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    n = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "doc_id",
+        n(0).alias("n_assign"),
+        n(1).alias("n_access"),
+        n(2).alias("n_hex"),
+        F.sha2(secrets.rendered(base), 256).alias("base_sha256"),
+        secrets.rendered(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
+    )
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = langid.train(*langid.sample(docs, ~held_out))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+#: Shards of op9.
+SHARDS = [f"shard-{k:03d}" for k in range(97)]
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sharding
+
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licenses
+
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    starts, labels = F.transform("places", lambda p: p["start"]), F.transform("places", lambda p: p["label"])
+    best = F.array_max(F.transform("met", lambda m: m["containment"]))
+    join = lambda a: F.array_join(F.sort_array(F.array_distinct(a)), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        join(labels).alias("base_labels"),
+        join(F.concat(labels, F.transform("met", lambda m: m["label"]))).alias("labels"),
+        F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"),
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_bpe, op2_decontaminate, op3_url_filter, op4_tool_calls, op5_near_duplicates, op6_quality, op7_secrets, op8_language, op9_sharding, op10_licenses)
+}
+ORACLE_SQL = {"op3_url_filter": OP3_SQL, "op4_tool_calls": OP4_SQL}
