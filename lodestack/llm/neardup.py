@@ -7,16 +7,18 @@ similarity is at least `threshold` per cent; classes are the connected component
   partial aggregation and never form pairs.
 * `TREES` independent trees branch the classes: a node picks one or two of `COORDINATES` minwise
   values (4/3 on average, the reciprocal of the similarity) by its own seed and sends each class to
-  the child of each picked value.  A pair of similarity 0.75 shares a leaf of one tree with
-  probability 0.81 at depth one and 0.53 at depth four; over 16 trees it is missed with probability
-  2e-12 and 5e-6.
-* A node of at most `LEAF` classes is compared exhaustively, and so is one where all but `LEAF` classes
-  are connected already.  A larger one is dealt into blocks of about `LEAF` classes (never one task
-  for a node), whose most similar pairs link it up at linear cost, and is then branched again.
+  the child of each picked value.  A pair of similarity 0.75 shares a node of one tree with
+  probability 0.81 at depth one, 0.69 at depth two and 0.53 at depth four; over 12 trees it is missed with
+  probability 2e-9, 8e-7 and 1e-4.  Most nodes end at depth one.
+* Nodes are dealt into blocks of about `LEAF` classes (never one task for a node), whose most similar pairs
+  link a node up at linear cost.  A node with at most `GRID * LEAF` classes beside its largest component is
+  then compared exhaustively, group by group; a larger one is branched again.
 * In a block, sketches of 128 values drop pairs estimated under 0.60 (four standard deviations at
-  0.75).  Every other pair is *confirmed on the full sets*, pairs already connected excepted.  The
-  first round over a block proposes a maximum spanning forest, the next one all that is left, so a
-  group of near copies costs about one confirmation a member.
+  0.75).  A block first proposes a maximum spanning forest of the others, whose edges are confirmed on
+  the full sets: one a class and block at most.  Classes of small nodes that still have such a pair
+  between two components then bring their full sets to the block, where every pair is counted exactly.
+  So rows stay linear in the members of nodes, whatever the size of a group, and no pair that the
+  sketches allow goes unconfirmed.
 * Components are grown by distributed minimum labels with pointer jumping.
 
 No task sees more than a block, and nothing about documents reaches the driver but row counts.
@@ -24,7 +26,7 @@ No task sees more than a block, and nothing about documents reaches the driver b
 Defined results: null, empty and wordless texts have no shingles, are linked with nothing and kept;
 fewer than five words are one shingle; rows that repeat a doc_id are one document that has the links
 of each of its texts, and each row gets a result; ties go to the smallest doc_id; an empty table
-gives an empty result; a null doc_id is a class of its own text with component null; columns other
+gives an empty result; a row with a null doc_id is linked with nothing, has component null, and is kept; columns other
 than doc_id and text are not looked at.
 """
 
@@ -43,8 +45,10 @@ from .store import Steps
 SHINGLE = 5
 THRESHOLD = 75
 COORDINATES = 128
-TREES = 16
-LEAF = 128
+TREES = 12
+LEAF = 256
+#: A node with at most GRID * LEAF classes beside its largest component is compared exhaustively.
+GRID = 8
 #: Pairs estimated below this many of 128 equal values are not confirmed.
 NEAR = 77
 
@@ -132,89 +136,167 @@ def _expand(members: DataFrame) -> DataFrame:
     return members.select("id", "nodes", "sketch").mapInArrow(run, "node long, id long")
 
 
-def _propose(blocks: DataFrame) -> DataFrame:
-    """Candidate pairs of each block, from rows (block, id, label, all_pairs, short) that lie together.
-
-    A block with all_pairs gives every unconnected pair whose sketches agree often enough, another one
-    a maximum spanning forest of them.
-    """
-
-    def pairs(ids: np.ndarray, labels: np.ndarray, short: np.ndarray, every: bool) -> np.ndarray:
-        n = len(ids)
-        left, right, score = [], [], []
-        for i in range(n - 1):
-            agree = (short[i + 1 :] == short[i]).sum(axis=1)
-            j = np.flatnonzero((agree >= NEAR) & (labels[i + 1 :] != labels[i]))
-            if len(j):
-                left.append(np.full(len(j), i))
-                right.append(j + i + 1)
-                score.append(agree[j])
-        if not left:
-            return np.zeros((0, 2), np.int64)
-        left, right, score = map(np.concatenate, (left, right, score))
-        if not every:
-            root = {x: x for x in labels.tolist()}
-
-            def find(x):
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            taken = []
-            for e in np.argsort(-score, kind="stable").tolist():
-                a, b = find(int(labels[left[e]])), find(int(labels[right[e]]))
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    taken.append(e)
-            left, right = left[taken], right[taken]
-        out = np.stack((ids[left], ids[right]), axis=1)
-        return np.stack((out.min(axis=1), out.max(axis=1)), axis=1)
+def _by_block(blocks: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
+    """`work(table)` on the rows of each block of more than one row; blocks are small by construction."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        found: list[np.ndarray] = []
+        found: list[pa.RecordBatch] = []
 
-        def work(table: pa.Table, edges: np.ndarray) -> None:
-            ids, labels = table["id"].to_numpy(), table["label"].to_numpy()
-            every = table["all_pairs"].to_numpy()
-            short = np.frombuffer(b"".join(table["short"].to_pylist()), np.uint8).reshape(len(ids), COORDINATES)
+        def each(table: pa.Table, edges: np.ndarray) -> None:
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if b - a > 1:
-                    found.append(pairs(ids[a:b], labels[a:b], short[a:b], bool(every[a])))
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if found:
-                both = np.unique(np.concatenate(found), axis=0)
-                found.clear()
-                if len(both):
-                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+                if b - a > 1 and (out := work(table.slice(a, b - a))) is not None:
+                    found.append(out)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            table = table if held is None else pa.concat_tables([held, table])
             block = table["block"].to_numpy()
             edges = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1))
-            work(table, edges)
+            each(table, edges)
             held = table.slice(int(edges[-1]))
-            yield from flush()
+            yield from found
+            found.clear()
         if held is not None:
-            work(held, np.array([0, held.num_rows]))
-        yield from flush()
+            each(held, np.array([0, held.num_rows]))
+        yield from found
+
+    together = blocks.select("block", *columns).repartition("block").sortWithinPartitions("block")
+    return together.mapInArrow(run, schema)
+
+
+def _forest(left: np.ndarray, right: np.ndarray, labels: np.ndarray, order: np.ndarray) -> list[int]:
+    """The edges, in the given order, that connect what was not connected."""
+    root = {x: x for x in labels.tolist()}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    taken = []
+    for e in order.tolist():
+        a, b = find(int(labels[left[e]])), find(int(labels[right[e]]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            taken.append(e)
+    return taken
+
+
+def _near(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Pairs (i, j, agreeing values) of a block that differ in label and that the sketches allow."""
+    labels = table["label"].to_numpy()
+    short = np.frombuffer(b"".join(table["short"].to_pylist()), np.uint8).reshape(len(labels), COORDINATES)
+    left, right, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(len(labels) - 1):
+        others = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
+        agree = (short[others] == short[i]).sum(axis=1)
+        keep = agree >= NEAR
+        if keep.any():
+            j = others[keep]
+            left.append(np.full(len(j), i))
+            right.append(j)
+            score.append(agree[keep])
+    return np.concatenate(left), np.concatenate(right), np.concatenate(score)
+
+
+def _links(ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch | None:
+    if not len(left):
+        return None
+    a, b = np.minimum(ids[left], ids[right]), np.maximum(ids[left], ids[right])
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return blocks.select("block", "id", "label", "all_pairs", "short").mapInArrow(run, "a long, b long")
 
+def _propose(blocks: DataFrame) -> DataFrame:
+    """(a, b): a maximum spanning forest of each block's near pairs, by agreeing values."""
+
+    def work(table: pa.Table) -> pa.RecordBatch | None:
+        left, right, score = _near(table)
+        taken = _forest(left, right, table["label"].to_numpy(), np.argsort(-score, kind="stable"))
+        return _links(table["id"].to_numpy(), left[taken], right[taken])
+
+    return _by_block(blocks, ["id", "label", "short"], work, "a long, b long")
+
+
+def _doubtful(blocks: DataFrame) -> DataFrame:
+    """(block, id, label) of the classes that have a near pair in their block."""
+
+    def work(table: pa.Table) -> pa.RecordBatch | None:
+        left, right, _ = _near(table)
+        rows = np.union1d(left, right)
+        if not len(rows):
+            return None
+        return table.select(["block", "id", "label"]).take(pa.array(rows)).combine_chunks().to_batches()[0]
+
+    return _by_block(blocks, ["id", "label", "short"], work, "block long, id long, label long")
+
+
+def _exact(blocks: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): a spanning forest of each block's links, by the full sets in `items`."""
+
+    def work(table: pa.Table) -> pa.RecordBatch | None:
+        sets = [np.frombuffer(x.as_buffer(), K.U64) for x in table["items"]]
+        size = np.array([len(x) for x in sets])
+        _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), size)
+        many = count[place] > 1
+        column = np.cumsum(count > 1)[place[many]] - 1
+        owner = owner[many]
+        shared = np.zeros((len(sets), len(sets)), np.float32)
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        width = 8192
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            a, b = np.searchsorted(column, [at, at + width])
+            dense = np.zeros((len(sets), width), np.float32)
+            dense[owner[a:b], column[a:b] - at] = 1
+            shared += dense @ dense.T
+        labels = table["label"].to_numpy()
+        linked = 100 * shared >= threshold * (size[:, None] + size[None] - shared)
+        left, right = np.nonzero(np.triu(linked, 1) & (labels[:, None] != labels[None]))
+        taken = _forest(left, right, labels, np.arange(len(left)))
+        return _links(table["id"].to_numpy(), left[taken], right[taken])
+
+    return _by_block(blocks, ["id", "label", "items"], work, "a long, b long")
+
+
+def _grid(nodes: DataFrame) -> DataFrame:
+    """(block, id, label): blocks of about 2 * LEAF rows in which all classes of a node with different labels meet.
+
+    The members of the largest component are dealt into slices, the others into at most GRID groups; every group
+    meets every slice and every other group.  A row is copied GRID times, or once a slice and group.
+    """
+    slots = F.ceil((F.col("n") - F.col("others")) / LEAF)
+    groups = F.ceil(F.col("others") / LEAF)
+    zero, deal = F.lit(0).cast("long"), F.xxhash64("id", "node")
+    slot, group = F.pmod(deal, slots), F.pmod(deal, groups)
+    place = lambda x, y, kind: F.struct(x.alias("x"), y.alias("y"), F.lit(kind).alias("kind"))
+    of_main = F.transform(F.sequence(zero, groups - 1), lambda g: place(slot, g, 0))
+    of_slots = F.transform(F.sequence(zero, slots - 1), lambda s: place(s, group, 0))
+    of_groups = F.transform(F.filter(F.sequence(zero, groups - 1), lambda g: g != group), lambda g: place(F.least(g, group), F.greatest(g, group), 1))
+    places = F.when(F.col("label") == F.col("main"), of_main).otherwise(F.concat(of_slots, of_groups))
+    return nodes.select("node", "id", "label", F.explode(places).alias("p")).select(F.xxhash64("node", "p.x", "p.y", "p.kind").alias("block"), "id", "label")
 
-def _confirm(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
-    """Pairs (a, b) with 100 * |A and B| >= threshold * |A or B| on the full sets."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in K.slices(batch, "text"):
-                found = [x.tobytes() for x in _sets(part.column("text"), size)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, pa.binary())], ["id", "items"])
+def _items(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
+    """(id, items): the full shingle sets of the documents whose id is in `needed`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for part in K.slices(batch, "text"):
+                    found = [x.tobytes() for x in _sets(part.column("text"), size)]
+                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, pa.binary())], ["id", "items"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(needed, "id", "left_semi")
+    return texts.mapInArrow(run, "id long, items binary")
+
+
+def _confirm(pairs: DataFrame, items: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) with 100 * |A and B| >= threshold * |A or B| on the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,9 +312,6 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> Da
                 keep.append(100 * shared >= threshold * (len(one) + len(two) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(needed, "id", "left_semi")
-    items = texts.mapInArrow(sets, "id long, items binary")
     both = pairs.join(items.select(F.col("id").alias("a"), F.col("items").alias("items_a")), "a")
     both = both.join(items.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b")
     return both.select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
@@ -259,6 +338,8 @@ def components(links: DataFrame, steps: Steps) -> DataFrame:
 
 def _merge(labels: DataFrame, links: DataFrame, steps: Steps) -> DataFrame:
     """Labels after more links; labels hold ids that have a link only."""
+    if not links.limit(1).count():
+        return labels
     one, two = (labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
     named = links.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b")
     top = components(named, steps)
@@ -289,60 +370,59 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     root_list = F.array(*[F.lit(int(x)) for x in K.mix(roots).view(np.int64)])
     # A doc_id with several texts joins itself in its own links, so its classes stay one document.
     labels = steps.write(spark.createDataFrame([], "id long, label long"))
-    seen = None
-    members = _expand(reps.select("id", root_list.alias("nodes"), "sketch"))
-    waiting = None
+    with_label = lambda rows: rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    members = steps.write(_expand(reps.select("id", root_list.alias("nodes"), "sketch")))
     # Ends: members of a node that never part agree in all minwise values, and are linked at once.
     while True:
-        members = steps.write(members)
         counts = members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         # Only ids that share a node go on; most nodes hold one.
         shared = steps.write(members.join(counts, "node"))
         steps.drop(members)
         deal = F.pmod(F.xxhash64("node", "id"), F.ceil(F.col("n") / LEAF))
-        blocks = shared.select(F.xxhash64("node", deal).alias("block"), "id", F.lit(False).alias("all_pairs"))
-        if waiting is not None:
-            blocks = blocks.unionByName(waiting.select("block", "id", F.lit(True).alias("all_pairs")))
-        blocks = blocks.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        blocks = blocks.join(shorts, "id").repartition("block").sortWithinPartitions("block")
-        pairs = _propose(blocks).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = steps.write(pairs)
-        links = steps.write(_confirm(pairs, docs, size, threshold))
-        seen = pairs if seen is None else steps.write(seen.unionByName(pairs))
-        if links.limit(1).count():
+        blocks = with_label(shared.select(F.xxhash64("node", deal).alias("block"), "id"))
+        pairs = steps.write(_propose(blocks.join(shorts, "id")).distinct())
+        if pairs.limit(1).count():
+            items = _items(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), size)
+            links = steps.write(_confirm(pairs, items, threshold))
             labels = _merge(labels, links, steps)
-        steps.drop(links)
-        # Nodes that are one component need no more work.  Where all but LEAF classes are one component,
-        # the others meet slices of it in blocks: a linear number of pairs, and all that are left.
-        labelled = shared.drop("n").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+            steps.drop(links)
+        steps.drop(pairs)
+        # Nodes that are one component need no more work.
+        labelled = with_label(shared.drop("n"))
         parts = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
         tops = parts.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("parts"))
         tops = tops.where("parts > 1").select("node", "n", F.col("top.label").alias("main"), (F.col("n") - F.col("top.n")).alias("others"))
         left = steps.write(labelled.join(tops, "node"))
-        steps.drop(shared, *([waiting] if waiting is not None else []))
-        small, large = left.where(F.col("others") <= LEAF), left.where(F.col("others") > LEAF)
-        slots = F.ceil((F.col("n") - F.col("others")) / LEAF)
-        every_slot = F.sequence(F.lit(0).cast("long"), slots - 1)
-        own_slot = F.array(F.pmod(F.xxhash64("node", "id"), slots))
-        dealt = small.select("node", "id", F.explode(F.when(F.col("label") == F.col("main"), own_slot).otherwise(every_slot)).alias("slot"))
-        waiting = steps.write(dealt.select(F.xxhash64("node", "slot").alias("block"), "id"))
+        steps.drop(shared)
+        small, large = left.where(F.col("others") <= GRID * LEAF), left.where(F.col("others") > GRID * LEAF)
+        doubtful = steps.write(_doubtful(_grid(small).join(shorts, "id")))
+        if doubtful.limit(1).count():
+            items = _items(docs, doubtful.select("id").distinct(), size)
+            links = steps.write(_exact(doubtful.join(items, "id"), threshold))
+            labels = _merge(labels, links, steps)
+            steps.drop(links)
         deeper = large.groupBy("id").agg(F.collect_set("node").alias("nodes")).join(reps, "id")
-        members = _expand(deeper)
-        if left.limit(1).count() == 0:
+        members = steps.write(_expand(deeper))
+        steps.drop(left, doubtful)
+        if not members.limit(1).count():
             break
     component = F.coalesce("label", "id")
     named = classes.join(labels, "id", "left").select("digest_a", "digest_b", component.alias("component"))
     out = profile.select("doc_id", "n_shingles", "digest_a", "digest_b").join(named, ["digest_a", "digest_b"], "left")
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    identity = F.col("doc_id")
+    out = out.withColumn("component_id", F.when((F.col("n_shingles") > 0) & identity.isNotNull(), F.col("component")).otherwise(identity))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(identity == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def distinct_documents(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its class, with all their columns.
+    """The rows of `docs` whose doc_id is the smallest of its class, one each, with all their columns.
 
-    Texts are not shuffled: the ids that go are few, and only they are joined with the rows.
+    Only ids are joined with the rows: the texts are shuffled once at most, and not at all while the ids
+    that go are few.  Of rows that repeat a doc_id one stays.
     """
-    gone = near_duplicates(docs, size, threshold).where(~F.coalesce("kept", F.lit(True))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    found = near_duplicates(docs, size, threshold).where("doc_id is not null")
+    ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    identity = docs["doc_id"].cast("long") == F.col("_id")
+    once = docs.join(ids.where("not kept or n > 1").select("_id"), identity, "left_anti")
+    again = docs.join(ids.where("kept and n > 1").select("_id"), identity, "left_semi")
+    return once.unionByName(again.dropDuplicates(["doc_id"]))
