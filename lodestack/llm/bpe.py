@@ -22,18 +22,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
 
-#: Entries of the tables that a worker remembers; at the bound a table starts anew.
-MEMORY = 500_000
+#: Entries of each of the two generations of matches, and of the pairs, that a worker remembers.
+MEMORY = 300_000
+#: Bytes that one lookup covers when the tokens that end at a byte are sought.
+STEM = 3
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -54,6 +58,7 @@ class Vocabulary:
         self.halves: dict[int, tuple[int, int]] = {}
         self._fits: dict[tuple[int, int], bool] = {}
         self._trie: dict[int, dict] = {}
+        self._stems: dict[bytes, tuple[list[tuple[int, int]], dict | None]] = {}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             # Encoding the token's bytes with the ranks below it leaves the two parts of its merge.
             parts = self._merge_below(token, rank)
@@ -94,27 +99,48 @@ class Vocabulary:
             else:
                 undone, right = right + 1, b[0]
 
+    def _stem(self, stem: bytes) -> tuple[list[tuple[int, int]], dict | None]:
+        """The tokens that end like `stem` and fit in it, the longest first, and where longer ones go on."""
+        node, ends = self._trie, []
+        for back, byte in enumerate(reversed(stem), 1):
+            node = node.get(byte)
+            if node is None:
+                break
+            if -1 in node:
+                ends.insert(0, (back, node[-1]))
+        known = self._stems[stem] = (ends, node or None)
+        return known
+
     def tails(self, data: bytes, known: list[int] = (), to: int | None = None) -> list[int]:
         """The last token of each prefix of data; `known` are those of its first prefixes."""
-        trie, fits, border = self._trie, self._fits, self._border_holds
+        stems, fits, border = self._stems, self._fits, self._border_holds
         out = known if isinstance(known, list) else list(known)
-        if len(fits) >= 2 * MEMORY:
+        if len(fits) >= MEMORY:
             fits.clear()
+        if len(stems) >= MEMORY:
+            stems.clear()
         for end in range(len(out) + 1, (len(data) if to is None else to) + 1):
-            node, at, ends = trie, end - 1, []
-            while at >= 0:
-                node = node.get(data[at])
-                if node is None:
-                    break
-                token = node.get(-1)
-                if token is not None:
-                    ends.append((at, token))
-                at -= 1
+            at = end - STEM
+            stem = data[at if at > 0 else 0 : end]
+            ends, node = stems.get(stem) or self._stem(stem)
+            if node is not None and at > 0:
+                longer, back = [], STEM
+                while at > 0:
+                    at -= 1
+                    back += 1
+                    node = node.get(data[at])
+                    if node is None:
+                        break
+                    if -1 in node:
+                        longer.append((back, node[-1]))
+                if longer:
+                    longer.reverse()
+                    ends = longer + ends
             # Longest first: it is the usual answer, and exactly one candidate is right.
-            for at, token in reversed(ends):
-                if not at:
+            for back, token in ends:
+                if back == end:
                     break
-                pair = (out[at - 1], token)
+                pair = (out[end - back - 1], token)
                 good = fits.get(pair)
                 if good is None:
                     good = fits[pair] = border(*pair)
@@ -177,25 +203,42 @@ class Encoded:
 
 
 class Tokenizer:
-    """A vocabulary with the pattern that cuts texts; remembers what short matches encode to."""
+    """A vocabulary with the pattern that cuts texts; remembers what short matches encode to.
+
+    Two generations of at most MEMORY matches are kept: a full one becomes the old one, from which
+    matches that come again move up.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.vocabulary = Vocabulary(ranks)
         self._split = regex.compile(pattern).findall
-        self._known: dict[str, tuple[int, ...]] = {}
+        self._known: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def _pack(self, piece: str) -> bytes:
+        return array("i", self.vocabulary.encode(piece.encode())).tobytes()
+
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as 32-bit numbers."""
+        pieces = self._split(text)
+        known, old = self._known, self._old
+        long: dict[str, bytes] = {}
+        for piece in set(pieces).difference(known):
+            ids = old.get(piece) or self._pack(piece)
+            if len(piece) <= 32:
+                known[piece] = ids
+            else:
+                long[piece] = ids
+        if long:
+            out = b"".join([long[p] if p in long else known[p] for p in pieces])
+        else:
+            out = b"".join(map(known.__getitem__, pieces))
+        if len(known) >= MEMORY:
+            self._known, self._old = {}, known
+        return out
 
     def encode(self, text: str) -> list[int]:
-        known, out = self._known, []
-        for piece in self._split(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.vocabulary.encode(piece.encode())
-                if len(piece) <= 32:
-                    if len(known) >= MEMORY:
-                        known.clear()
-                    known[piece] = ids
-            out += ids
-        return out
+        return np.frombuffer(self.packed(text), "<i4").tolist()
 
 
 _built: dict[str, Tokenizer] = {}
@@ -229,11 +272,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
             named = pa.RecordBatch.from_arrays([batch.column(place)], ["text"])
             at = 0
             for part in K.slices(named, "text", 1 << 20):
-                ids, ends = [], [0]
-                for value in part.column(0).to_pylist():
-                    ids += tokenizer.encode(value) if value else []
-                    ends.append(len(ids))
-                column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                coded = [tokenizer.packed(value) if value else b"" for value in part.column(0).to_pylist()]
+                ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in coded]))).astype(np.int32)
+                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<i4")))
                 rest = batch.slice(at, part.num_rows)
                 yield pa.RecordBatch.from_arrays([*(rest.column(i) for i in range(place)), column], [*others, "ids"])
                 at += part.num_rows
@@ -247,22 +288,26 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
 def decode(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """`docs` with `decoded`, the bytes that its ids stand for (in place of a `decoded` it had)."""
     docs = docs.drop("decoded")
-    size = max(ranks.values()) + 1
+    size = max(ranks.values(), default=-1) + 1
     tokens = [b""] * size
     for token, rank in ranks.items():
         tokens[rank] = token
     shared = docs.sparkSession.sparkContext.broadcast(tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shared.value.__getitem__
+        tokens = shared.value
+        of = tokens.__getitem__
+        length = np.array([len(t) for t in tokens] or [0], np.int64)
         for batch in batches:
             at = batch.schema.get_field_index("ids")
-            for row in range(0, batch.num_rows, 256):
-                part = batch.slice(row, 256)
-                whole = part.column(at)
-                flat, cut = whole.flatten().to_pylist(), np.concatenate(([0], np.cumsum(np.diff(whole.offsets.to_numpy())))).tolist()
-                texts = [b"".join(map(of, flat[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*part.schema.names, "decoded"])
+            for row in range(0, batch.num_rows, 512):
+                part = batch.slice(row, 512)
+                flat = part.column(at).flatten().to_numpy(zero_copy_only=False)
+                cut = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(part.column(at)), 0).to_numpy())))
+                ends = np.concatenate(([0], np.cumsum(length[flat])))[cut].astype(np.int32)
+                whole = b"".join(map(of, flat.tolist()))
+                texts = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(whole)])
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{schema}, decoded binary")
