@@ -44,7 +44,7 @@ def normal_reason(text: Column) -> Column:
     """A failure's text without what differs from case to case: numbers, hex words and quoted names."""
     text = F.regexp_replace(text, r"0x[0-9a-fA-F]+", "0x#")
     text = F.regexp_replace(text, r"'[^']*'|\"[^\"]*\"|`[^`]*`", "'…'")
-    return F.regexp_replace(text, r"\d+", "#")
+    return F.regexp_replace(text, r"\d+(?!x#)", "#")
 
 
 def capped_distinct(rows: DataFrame, column: str, most: int = 200) -> DataFrame:

@@ -90,7 +90,10 @@ def ordered_digest(df: DataFrame, record: Column, order: list) -> DataFrame:
 
     ordered = cut(df.select(record.alias("_record"), *[(o if isinstance(o, Column) else F.col(o)).alias(f"_o{k}") for k, o in enumerate(order)]).orderBy(*[F.col(f"_o{k}") for k in range(len(order))]), "digest")
     # The sorted table is read back by one task, file by file in name order, a batch at a time.
-    return ordered.orderBy(*[F.col(f"_o{k}") for k in range(len(order))]).select("_record").coalesce(1).mapInArrow(fold, "n_records long, sha256 string")
+    folded = ordered.orderBy(*[F.col(f"_o{k}") for k in range(len(order))]).select("_record").coalesce(1).mapInArrow(fold, "n_records long, sha256 string")
+    # An empty table has no task to fold in.
+    empty = hashlib.sha256().hexdigest()
+    return folded.agg(F.coalesce(F.max("n_records"), F.lit(0).cast("long")).alias("n_records"), F.coalesce(F.max("sha256"), F.lit(empty)).alias("sha256"))
 
 
 def identity(**query) -> str:

@@ -109,15 +109,21 @@ def usages_in_order(hits: DataFrame, key: str, name: Column, wanted: str, standa
     return hits.withColumn("rank", F.when(name == wanted, 0).when(~known, 1).otherwise(2)).orderBy("rank", key)
 
 
-def trigrams(text: Column) -> Column:
-    """The distinct runs of three code points of a text."""
-    size = F.length(text)
-    return F.when(size >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), size - 2), lambda i: F.substring(text, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+def trigram_index(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Postings (gram, key): the distinct runs of three code points of every document.
 
+    Write it bucketed by gram to search it without a shuffle.
+    """
 
-def trigram_index(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Postings (gram, key) of every document; write it bucketed by gram to search it without a shuffle."""
-    return docs.select(key, F.explode(trigrams(F.col(text))).alias("gram"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [{v[i : i + 3] for i in range(len(v) - 2)} if v else set() for v in part.column(1).to_pylist()]
+                row = pa.array([r for r, grams in enumerate(found) for _ in grams], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(row), pa.array([g for grams in found for g in grams], pa.string())], [key, "gram"])
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, gram string")
 
 
 def search_indexed(docs: DataFrame, index: DataFrame, key: str, text: str, query: str) -> DataFrame:

@@ -56,14 +56,14 @@ c AS (SELECT *, length(before) - length(replace(before, chr(10), '')) + 1 AS lin
 
 
 @query(
-    _HITS.format(q="nand")
-    + """SELECT doc_id, ordinal, s AS start, s + 4 AS "end", line, col + 1 AS "column", 'nand' AS matched,
+    _HITS.format(q="heth")
+    + """SELECT doc_id, ordinal, s AS start, s + 4 AS "end", line, col + 1 AS "column", 'heth' AS matched,
   CASE WHEN col > 60 THEN '…' ELSE '' END || substr(string_split(before, chr(10))[-1], greatest(col - 59, 1)) || substr(eol, 1, 180) AS preview
 FROM c"""
 )
 def literal_search(spark, sf_dir):
     """Every occurrence of a literal with offset, line, column and preview."""
-    return Q.matches(read(spark, sf_dir, "documents"), "doc_id", "text", "nand")
+    return Q.matches(read(spark, sf_dir, "documents"), "doc_id", "text", "heth")
 
 
 @query("""SELECT doc_id, CAST((length(text) - length(replace(text, 'thnd', ''))) / 4 AS BIGINT) AS n_matches FROM documents WHERE contains(text, 'thnd')""")
