@@ -33,14 +33,14 @@ def services(classes: DataFrame, methods: DataFrame, annotations: DataFrame, val
     route = F.max(F.when(F.col("path") == F.when(F.col("simple") == "HTTP", "path").otherwise("value"), F.col("value")))
     found = named.groupBy("owner").agg(verb.alias("verb"), route.alias("route"), F.countDistinct("annotation_id").alias("_n"))
     bound = live.where("owner_kind = 'parameter'").groupBy("owner").agg(
-        F.sort_array(F.collect_list(F.struct("parameter", "simple"))).alias("parameters"),
+        F.sort_array(F.collect_list(F.struct("parameter", "simple"))).alias("bound"),
         F.min(F.col("simple").isin(*PARAMETERS)).alias("_known"),
     )
     interfaces = classes.where("is_interface").select("class_id")
     out = methods.join(interfaces, "class_id", "left_semi").join(found, methods["method_id"] == found["owner"]).drop("owner")
     out = out.join(bound, out["method_id"] == bound["owner"], "left").drop("owner")
     status = F.when(F.col("_n") == 1, "proven").otherwise("ambiguous")
-    return out.select("class_id", "method_id", F.when(F.col("_n") == 1, F.col("verb")).alias("verb"), F.when(F.col("_n") == 1, F.col("route")).alias("route"), status.alias("status"), F.transform("parameters", lambda p: p["simple"]).alias("parameters"), F.when(F.coalesce("_known", F.lit(True)), True).alias("parameters_known"))
+    return out.select("class_id", "method_id", F.when(F.col("_n") == 1, F.col("verb")).alias("verb"), F.when(F.col("_n") == 1, F.col("route")).alias("route"), status.alias("status"), F.transform("bound", lambda p: p["simple"]).alias("parameters"), F.when(F.coalesce("_known", F.lit(True)), True).alias("parameters_known"))
 
 
 def header_shapes(fields: DataFrame, methods: DataFrame) -> DataFrame:
