@@ -65,6 +65,14 @@ def alias_permission(own: Column, targets: Column, target_permission: Column) ->
     return F.when(own.isNotNull(), own).when(targets == 1, target_permission)
 
 
+def launch_field(own: Column, target: Column, default: str, is_alias: Column) -> Column:
+    """struct(value, source, resolved): an alias launches as its target says; a reference is not resolved."""
+    declared = F.when(is_alias, target).otherwise(own)
+    source = F.when(declared.isNull(), "default").when(is_alias, "target").otherwise("declared")
+    resolved = declared.isNull() | ~declared.rlike("^[@?]")
+    return F.struct(F.coalesce(declared, F.lit(default)).alias("value"), source.alias("source"), resolved.alias("resolved"))
+
+
 def protection(bits: Column) -> Column:
     """`signature|privileged`; bits without a name come last as hex."""
     base = F.get(F.array(*[F.lit(b) for b in PROTECTION_BASES]), bits.bitwiseAND(F.lit(0xF)).cast("int"))

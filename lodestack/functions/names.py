@@ -76,6 +76,18 @@ def is_identifier(text: Column) -> Column:
     return text.rlike(r"^[\p{L}_$][\p{L}\p{N}_$]*$")
 
 
+def java_literal(value: str) -> str:
+    """A string as Java source writes it: ASCII, with escapes for everything else."""
+    # The short escapes.
+    short = {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r", '"': '\\"', "\\": "\\\\"}
+    units = value.encode("utf-16-be", "surrogatepass")
+    out = []
+    for k in range(0, len(units), 2):
+        c = units[k] << 8 | units[k + 1]
+        out.append(short.get(chr(c)) or (chr(c) if 0x20 <= c < 0x7F else f"\\u{c:04x}"))
+    return '"' + "".join(out) + '"'
+
+
 def tracing_snippet(selector: str) -> str:
     """A hook for a method, as a tracer's script: the overload is picked by its parameter types."""
     full = normal_selector(selector)

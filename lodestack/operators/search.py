@@ -79,6 +79,15 @@ def spans(docs: DataFrame, key: str, text: str, opening: str, closing: str, kind
     return some.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, kind string, start long, end long")
 
 
+def line_offsets(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line, start, end) of every line, in code points, inside the JVM."""
+    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("_i", "_t"))
+    size = F.length("_t").cast("long")
+    run = Window.partitionBy(key).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(size + 1).over(run) - 1
+    return lines.withColumn("end", end).select(key, (F.col("_i") + 1).cast("long").alias("line"), (F.col("end") - size).alias("start"), "end")
+
+
 def scoped(hits: DataFrame, regions: DataFrame, key: str, inside: bool) -> DataFrame:
     """Hits that overlap a region, or (inside=False) none: an equi-join on the document with the interval as residual."""
     r = regions.select(F.col(key).alias("_key"), F.col("start").alias("_start"), F.col("end").alias("_end"))

@@ -280,6 +280,46 @@ class Project:
 
     get_call_graph_batch = get_call_graph
 
+    def semantic_edges(self) -> DataFrame:
+        """(source, target, kind): what a call site may mean beyond the method it names.
+
+        `lambda_creation`: a method makes an object of a generated class, whose overriding methods may run later;
+        `possible_interface_dispatch` and `possible_virtual_dispatch`: an override may run in place of what is named.
+        """
+        kinds = self.table("dex_class").select(F.col("class_id").alias("_owner"), "is_interface")
+        dispatch = self.dispatch_edges().withColumn("_owner", F.expr("regexp_extract(source, '^(.*)[.][^.(]*[(]', 1)")).join(kinds, "_owner", "left")
+        kind = F.when(F.coalesce("is_interface", F.lit(False)), "possible_interface_dispatch").otherwise("possible_virtual_dispatch")
+        made = self.table("dex_instruction").where("opcode = 34").select(F.col("method_id").alias("source"), N.type_name(F.col("operand")).alias("class_id"))
+        made = made.where(F.col("class_id").rlike(r"\$\$Lambda|ExternalSyntheticLambda|\$[0-9]+$")).distinct()
+        bodies = self.table("dex_method").where("has_code and not is_static and name <> '<init>'").select("class_id", F.col("method_id").alias("target"))
+        lambdas = made.join(bodies, "class_id").select("source", "target", F.lit("lambda_creation").alias("kind"))
+        return dispatch.select("source", "target", kind.alias("kind")).unionByName(lambdas)
+
+    def filter_nodes(self, nodes: DataFrame, package_prefix: str | None = None, class_name: str | None = None, annotation: str | None = None, component_type: str | None = None) -> DataFrame:
+        """Nodes of a finished walk that meet every filter; the root stays."""
+        owner = F.expr("regexp_extract(node, '^(.*)[.][^.(]*[(]', 1)")
+        out = nodes.withColumn("class_id", owner)
+        root = F.col("depth") == 0
+        if package_prefix is not None:
+            out = out.where(root | S.in_scope(F.col("class_id"), [package_prefix]))
+        if class_name is not None:
+            out = out.where(root | (F.col("class_id") == class_name))
+        for test, table in (
+            (annotation, lambda: self.find_annotation_usages(annotation, match_mode="simple_name")),
+            (component_type, lambda: self.components().where(F.col("component") == component_type)),
+        ):
+            if test is not None:
+                held = table().select("class_id").distinct().withColumn("_held", F.lit(True))
+                out = out.join(held, "class_id", "left").where(root | F.col("_held")).drop("_held")
+        return out.drop("class_id")
+
+    def enrich_sites(self, sites: DataFrame) -> DataFrame:
+        """Call sites with the line of the caller's listing that makes the call."""
+        lines = self.table("listing").join(sites.select("method_id").distinct(), "method_id", "left_semi")
+        lines = lines.select("method_id", F.posexplode(F.split("text", "\n")).alias("_line", "text"))
+        lines = lines.select("method_id", (F.col("_line") + 1).cast("long").alias("line"), "text", F.regexp_extract("text", r"^([0-9a-f]{4,}): ", 1).alias("_at")).where("_at <> ''")
+        return sites.join(lines.withColumn("pc", F.conv("_at", 16, 10).cast("long")).drop("_at"), ["method_id", "pc"], "left")
+
     def get_call_sites(self, method_id: str, direction: str = "callers", argument: int | None = None, literal: str | None = None) -> DataFrame:
         """The sites that call a method (or that it calls); with a literal, each is matched, excluded or unresolved."""
         goal = N.normal_selector(method_id)
@@ -327,6 +367,20 @@ class Project:
         place = checked.select("method_id", F.conv(F.when(at != "", at), 16, 10).cast("long").alias("pc")).where("pc is not null")
         return place.join(self.table("dex_instruction"), ["method_id", "pc"]).select("method_id", "pc", "name", "pool", "operand")
 
+    def search_definitions(self, query: str, regex: bool = False) -> DataFrame:
+        """Definitions of classes, methods and fields whose simple name matches."""
+        own = lambda t, c, kind, name: self.table(t).select(F.col(c).alias("symbol"), F.lit(kind).alias("kind"), name.alias("name"))
+        every = own("dex_class", "class_id", "class", N.simple_type(F.col("class_id"))).unionByName(own("dex_method", "method_id", "method", F.col("name"))).unionByName(own("dex_field", "field_id", "field", F.col("name")))
+        return every.where(T.contains(F.col("name"), query, regex))
+
+    def resource_aliases(self, query: str) -> DataFrame:
+        """What else a query for a resource means: a number also its symbol, a symbol also its number."""
+        table = self.table("resource_variant").select("id", "package", "kind", "name").distinct()
+        symbol = F.concat(F.lit("R."), "kind", F.lit("."), "name")
+        number = F.concat(F.lit("0x"), F.lower(F.lpad(F.hex("id"), 8, "0")))
+        out = table.select("id", symbol.alias("symbol"), number.alias("hex"), F.col("id").cast("string").alias("decimal"))
+        return out.where((F.col("symbol") == query) | (F.col("hex") == query.lower()) | (F.col("decimal") == query))
+
     # Evidence.
 
     def constant_arguments(self, callee: str | None = None) -> DataFrame:
@@ -356,6 +410,17 @@ class Project:
         rows = services.select("class_id", F.concat_ws(" ", "verb", "route").alias("detail"), F.lit(None).cast("long").alias("sites"))
         return used.withColumn("evidence", F.lit("api_usage")).unionByName(shapes.withColumn("evidence", F.lit("structural_stack"))).unionByName(rows.withColumn("evidence", F.lit("service_method")))
 
+    def services_outside(self, package_prefix: str) -> DataFrame:
+        """One row: how many service methods a scope holds, and how many it leaves out."""
+        inside = S.in_scope(F.col("class_id"), [package_prefix])
+        return self.find_network_stacks("services").agg(F.count(F.when(inside, 1)).alias("inside"), F.count(F.when(~inside, 1)).alias("outside"))
+
+    def bundle_reads(self) -> DataFrame:
+        """(method_id, pc, callee, key): values that methods read from bundles and intents; key null where it is not proven."""
+        read = F.col("callee").rlike(r"^android\.(os\.Bundle|content\.Intent)\.(get|has|contains)[A-Za-z]*\(Ljava/lang/String;")
+        known = D.constant_arguments(self.bodies).where(read & (F.col("argument") == 0))
+        return known.select("method_id", "pc", "callee", F.when(F.col("kind") == "string", F.col("value")).alias("key"))
+
     def find_webview_chooser_flows(self) -> DataFrame:
         """Where results of a picked file may reach a web view's callback."""
         # What yields a picked URI, what carries it, and the callback that takes it.

@@ -200,3 +200,65 @@ def test_plugins(project):
     assert broken.where("error like 'ZeroDivisionError%'").count() == stats.count()
     assert U.source_statistics("class Hello { // α😀\n}\n") == {"lines": 2, "characters": 22}
     assert U.analyze_project(project, manifest, U.webview_inventory, "method_id string, call string, line long").count() == 0
+
+
+def test_control_flow(project):
+    from lodestack.operators import cfg
+
+    own = project.bodies.where("method_id = 'sample.Case.invoke()V'")
+    blocks = {r["block"]: (r["first_pc"], r["last_pc"], r["dominator"], r["live"]) for r in cfg.cfg_blocks(own).collect()}
+    assert blocks == {0: (0, 3, None, [2]), 1: (5, 5, 0, []), 2: (6, 6, 0, [])}
+    assert values(cfg.cfg_edges(own), "source", "target") == [(0, 1), (0, 2), (1, 2)]
+
+
+def test_registry(spark, tmp_path):
+    from lodestack.registry import Registry
+
+    (tmp_path / "a.apk").write_bytes(B.app())
+    registry = Registry(spark)
+    one = registry.open_apk(str(tmp_path))
+    assert registry.open_apk(str(tmp_path)) is one
+    info = registry.get_instance_info(one.id)
+    assert info["classes"] == 6 and info["complete"] and info["has_manifest"]
+    assert registry.get_health() == [{"instance_id": one.id, "ready": True, "failures": 0}]
+    assert registry.list_instances(package="sample").count() == 1 and registry.list_instances(package="no").count() == 0
+    registry.forget_instance(one.id)
+    with pytest.raises(ContractError):
+        registry.get(one.id)
+
+
+def test_exports(project, tmp_path):
+    from lodestack import exports
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.apk").write_bytes(B.app())
+    out = f"file://{tmp_path}/one"
+    assert exports.export_source(project, out, class_name="sample.Caller")["complete"]
+    with pytest.raises(ContractError, match="EXISTS"):
+        exports.export_source(project, out, class_name="sample.Caller")
+    with pytest.raises(ContractError):
+        exports.export_source(project, f"{out}2")
+    asset = exports.export_asset(project, str(tmp_path / "in"), "assets/notes.txt").collect()
+    assert [bytes(r["content"]) for r in asset] == [b"alpha beta\nbeta\n"]
+    assert exports.main([str(tmp_path / "in"), f"file://{tmp_path}/all", "--prefix", "sample"]) == 0
+    assert exports.main([str(tmp_path / "in"), f"file://{tmp_path}/all", "--prefix", "sample"]) == 1
+
+
+def test_more_lookups(project):
+    from lodestack.functions import names as N
+    from lodestack.operators import search as Q
+
+    nodes = project.get_call_graph(RUN, "callers", 3)
+    assert values(project.filter_nodes(nodes, class_name="sample.Other"), "node") == [RUN]
+    assert values(project.filter_nodes(nodes, package_prefix="sample"), "node") == ["sample.Caller.call()V", RUN]
+    assert values(project.filter_nodes(nodes, annotation="GET", component_type="activity"), "node") == [RUN]
+    lines = project.enrich_sites(project.get_call_sites(RUN)).collect()
+    assert [RUN in r["text"] and r["line"] == 6 for r in lines] == [True]
+    assert values(project.semantic_edges(), "source", "kind") == [("sample.Api.get(Ljava/lang/String;)V", "possible_interface_dispatch"), (RUN, "possible_virtual_dispatch")]
+    assert values(project.services_outside("other"), "inside", "outside") == [(0, 1)]
+    assert project.bundle_reads().count() == 0
+    assert values(project.search_definitions("answer"), "symbol", "kind") == [("sample.Hello.answer()I", "method")]
+    assert values(project.resource_aliases("R.string.title"), "hex") == ["0x7f010001"]
+    assert N.java_literal('a"é\n😀') == '"a\\"\\u00e9\\n\\ud83d\\ude00"'
+    docs = project.spark.createDataFrame([("d", "ab\n\nc😀\n")], "k string, t string")
+    assert values(Q.line_offsets(docs, "k", "t"), "line", "start", "end") == [(1, 0, 2), (2, 3, 3), (3, 4, 6), (4, 7, 7)]
