@@ -61,8 +61,8 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows with about `limit` bytes of text (one row at least each)."""
+def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows with about `limit` bytes of text (one row at least each), which bounds what kernels hold."""
     if not batch.num_rows:
         return
     _, offsets = utf8(batch.column(text))

@@ -15,9 +15,9 @@ similarity is at least `threshold` per cent; classes are the connected component
   then compared exhaustively, group by group; a larger one is branched again.
 * In a block, sketches of 128 values drop pairs estimated under 0.60 (four standard deviations at
   0.75).  A block first proposes a maximum spanning forest of the others, whose edges are confirmed on
-  the full sets: one a class and block at most.  Classes of small nodes that still have such a pair
-  between two components then bring their full sets to the block, where every pair is counted exactly.
-  So rows stay linear in the members of nodes, whatever the size of a group, and no pair that the
+  the full sets: one a class and block at most.  Small nodes that still have such a pair between two components
+  then give those pairs where they are few; where they are many, the classes bring their full sets to
+  the block, where every pair is counted exactly.  So rows stay linear in the members of nodes, whatever the size of a group, and no pair that the
   sketches allow goes unconfirmed.
 * Components are grown by distributed minimum labels with pointer jumping.
 
@@ -49,6 +49,10 @@ TREES = 12
 LEAF = 256
 #: A node with at most GRID * LEAF classes beside its largest component is compared exhaustively.
 GRID = 8
+#: A block with at most this many near pairs a row gives pairs to confirm, another one its full sets.
+PAIRS = 8
+#: Ids that are broadcast to pick texts by; beyond that the join is shuffled.
+BROADCAST_IDS = 2_000_000
 #: Pairs estimated below this many of 128 equal values are not confirmed.
 NEAR = 77
 
@@ -162,6 +166,7 @@ def _by_block(blocks: DataFrame, columns: list[str], work, schema: str) -> DataF
         if held is not None:
             each(held, np.array([0, held.num_rows]))
         yield from found
+        pa.default_memory_pool().release_unused()
 
     together = blocks.select("block", *columns).repartition("block").sortWithinPartitions("block")
     return together.mapInArrow(run, schema)
@@ -222,16 +227,28 @@ def _propose(blocks: DataFrame) -> DataFrame:
 
 
 def _doubtful(blocks: DataFrame) -> DataFrame:
-    """(block, id, label) of the classes that have a near pair in their block."""
+    """(block, id, label, other) of what is still to be compared exactly.
+
+    A block with few near pairs for its rows gives the pairs (id, other), which recur in other blocks and are told
+    apart there only; one with many gives its rows, with other null.
+    """
 
     def work(table: pa.Table) -> pa.RecordBatch | None:
         left, right, _ = _near(table)
         rows = np.union1d(left, right)
         if not len(rows):
             return None
-        return table.select(["block", "id", "label"]).take(pa.array(rows)).combine_chunks().to_batches()[0]
+        few = len(left) <= PAIRS * len(rows)
+        ids = table["id"].to_numpy()
+        if few:
+            a, b = np.minimum(ids[left], ids[right]), np.maximum(ids[left], ids[right])
+            block, label, other = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), pa.array(b)
+        else:
+            a, other = ids[rows], pa.nulls(len(rows), pa.int64())
+            block, label = table["block"].to_numpy()[rows], table["label"].to_numpy()[rows]
+        return pa.RecordBatch.from_arrays([pa.array(block), pa.array(a), pa.array(label), other], ["block", "id", "label", "other"])
 
-    return _by_block(blocks, ["id", "label", "short"], work, "block long, id long, label long")
+    return _by_block(blocks, ["id", "label", "short"], work, "block long, id long, label long, other long")
 
 
 def _exact(blocks: DataFrame, threshold: int) -> DataFrame:
@@ -281,6 +298,11 @@ def _grid(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "id", "label", F.explode(places).alias("p")).select(F.xxhash64("node", "p.x", "p.y", "p.kind").alias("block"), "id", "label")
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """`ids`, to be broadcast while they are few enough, so that texts stay where they are read."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def _items(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
     """(id, items): the full shingle sets of the documents whose id is in `needed`."""
 
@@ -291,7 +313,7 @@ def _items(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
                     found = [x.tobytes() for x in _sets(part.column("text"), size)]
                     yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, pa.binary())], ["id", "items"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(needed, "id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(_sent(needed), "id", "left_semi")
     return texts.mapInArrow(run, "id long, items binary")
 
 
@@ -348,6 +370,7 @@ def _merge(labels: DataFrame, links: DataFrame, steps: Steps) -> DataFrame:
     every = labels.join(ends, "id", "full").select("id", F.coalesce("label", "id").alias("label"))
     out = steps.write(every.join(high, "label", "left").select("id", F.coalesce("up", "label").alias("label")))
     steps.drop(labels, top)
+    steps.release()
     return out
 
 
@@ -356,9 +379,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     spark = docs.sparkSession
     steps = Steps(spark, "neardup")
     profile = steps.write(profiles(docs, size))
-    classes = profile.where("n_shingles > 0 and doc_id is not null").groupBy("digest_a", "digest_b").agg(F.min("doc_id").alias("id"))
-    kept = profile.join(classes, (profile.doc_id == classes.id) & (profile.digest_a == classes.digest_a) & (profile.digest_b == classes.digest_b), "left_semi")
-    reps = steps.write(kept.select(F.col("doc_id").alias("id"), "sketch").distinct())
+    # One row a class: its smallest doc_id and that document's minwise values, which the whole class shares.
+    first = profile.where("n_shingles > 0 and doc_id is not null").groupBy("digest_a", "digest_b")
+    reps = steps.write(first.agg(F.min("doc_id").alias("id"), F.min("sketch").alias("sketch")))
+    classes = reps.select("digest_a", "digest_b", "id")
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -386,7 +410,6 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
             links = steps.write(_confirm(pairs, items, threshold))
             labels = _merge(labels, links, steps)
             steps.drop(links)
-        steps.drop(pairs)
         # Nodes that are one component need no more work.
         labelled = with_label(shared.drop("n"))
         parts = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -397,15 +420,22 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
         small, large = left.where(F.col("others") <= GRID * LEAF), left.where(F.col("others") > GRID * LEAF)
         doubtful = steps.write(_doubtful(_grid(small).join(shorts, "id")))
         if doubtful.limit(1).count():
-            items = _items(docs, doubtful.select("id").distinct(), size)
-            links = steps.write(_exact(doubtful.join(items, "id"), threshold))
+            single = doubtful.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+            single = steps.write(single.join(pairs, ["a", "b"], "left_anti"))
+            dense = doubtful.where("other is null").drop("other")
+            by_pair = _confirm(single, _items(docs, single.select(F.explode(F.array("a", "b")).alias("id")).distinct(), size), threshold)
+            by_block = _exact(dense.join(_items(docs, dense.select("id").distinct(), size), "id"), threshold)
+            links = steps.write(by_pair.unionByName(by_block))
             labels = _merge(labels, links, steps)
-            steps.drop(links)
+            steps.drop(links, single)
+        steps.drop(pairs)
         deeper = large.groupBy("id").agg(F.collect_set("node").alias("nodes")).join(reps, "id")
         members = steps.write(_expand(deeper))
         steps.drop(left, doubtful)
         if not members.limit(1).count():
             break
+        del counts, shared, blocks, pairs, labelled, parts, tops, left, small, large, doubtful, deeper
+        steps.release()
     component = F.coalesce("label", "id")
     named = classes.join(labels, "id", "left").select("digest_a", "digest_b", component.alias("component"))
     out = profile.select("doc_id", "n_shingles", "digest_a", "digest_b").join(named, ["digest_a", "digest_b"], "left")
@@ -420,9 +450,9 @@ def distinct_documents(docs: DataFrame, size: int = SHINGLE, threshold: int = TH
     Only ids are joined with the rows: the texts are shuffled once at most, and not at all while the ids
     that go are few.  Of rows that repeat a doc_id one stays.
     """
-    found = near_duplicates(docs, size, threshold).where("doc_id is not null")
+    found = Steps(docs.sparkSession, "kept").write(near_duplicates(docs, size, threshold)).where("doc_id is not null")
     ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     identity = docs["doc_id"].cast("long") == F.col("_id")
-    once = docs.join(ids.where("not kept or n > 1").select("_id"), identity, "left_anti")
-    again = docs.join(ids.where("kept and n > 1").select("_id"), identity, "left_semi")
+    once = docs.join(_sent(ids.where("not kept or n > 1").select("_id")), identity, "left_anti")
+    again = docs.join(_sent(ids.where("kept and n > 1").select("_id")), identity, "left_semi")
     return once.unionByName(again.dropDuplicates(["doc_id"]))

@@ -7,11 +7,16 @@ tasks that it ran, not the steps before them.
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_BYTES = 16 << 20
+
+
 def folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_steps"
     return base.rstrip("/")
@@ -28,11 +33,28 @@ class Steps:
     def write(self, df: DataFrame) -> DataFrame:
         self._at += 1
         path = f"{self.base}/{self._at}"
-        df.write.parquet(path)
+        with self._small_batches():
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._written_to = path
         return out
 
+    @contextlib.contextmanager
+    def _small_batches(self):
+        """Arrow batches of at most BATCH_BYTES while a step runs, which bounds what a Python worker holds."""
+        name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", self.spark.conf
+        before = conf.get(name, None)
+        conf.set(name, str(BATCH_BYTES))
+        try:
+            yield
+        finally:
+            conf.unset(name) if before is None else conf.set(name, before)
+
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of steps that nothing refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark._jvm
         for table in tables:
