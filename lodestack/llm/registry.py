@@ -82,7 +82,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.when(F.col("h") % 4 == 0, F.lit("add")).alias("action"), (F.col("d") + 60).alias("on")),
     )
     entries = log.select("list", "key", "verdict", F.explode(events).alias("e")).select("list", "key", "verdict", "e.action", day(F.col("e.on")).alias("dated"))
-    judged = urlfilter.judge(captures, entries, identity="page_id")
+    judged = urlfilter.judge(captures, entries)
     return judged.select("page_id", "host", "blocked", F.size("matched").cast("long").alias("n_matched"), F.array_join("matched", ",").alias("matched"))
 
 

@@ -61,7 +61,7 @@ def _period(instant: Column) -> Column:
     return F.floor(F.unix_timestamp(instant) / (86_400 * PERIOD_DAYS)).cast("long")
 
 
-def judge(captures: DataFrame, entries: DataFrame, identity: str, url: str = "url", fetched: str = "fetched_at") -> DataFrame:
+def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_at") -> DataFrame:
     """`captures` with host, blocked, and matched (sorted `list:verdict:key` of the entries that hold)."""
     spans = intervals(entries)
     spans = spans.withColumn("period", F.explode(F.sequence(_period(F.col("valid_from")), _period(F.col("valid_to")))))

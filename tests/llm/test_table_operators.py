@@ -19,12 +19,12 @@ def test_url_filter_intervals_and_edges(spark):
         [(1, "http://www.BAD.com/x", "01-09"), (2, "http://bad.com:80/", "01-10"), (3, "http://u@bad.com?q", "02-29"), (4, "http://bad.com", "03-01"), (5, "http://bad.com", "12-30"), (6, "http://ok.bad.com/p", "02-01"), (7, "https://site.org/a/b/c", "02-01"), (8, "https://site.org/a/bc", "02-01"), (9, None, "02-01"), (10, "", "02-01"), (11, "mailto:x", "02-01"), (12, "http://bad.com", None), (2, "http://bad.com:80/", "01-10")],
         "page_id long, url string, d string",
     ).withColumn("fetched_at", F.to_timestamp(F.concat(F.lit("2024-"), "d"))).withColumns({"host": F.lit("x"), "key": F.lit(1), "list": F.lit(2)})
-    rows = urlfilter.judge(captures, entries, "page_id").collect()
+    rows = urlfilter.judge(captures, entries).collect()
     assert collections.Counter(r["page_id"] for r in rows if r["blocked"]) == {2: 2, 3: 1, 5: 1, 7: 1}
     assert [r["matched"] for r in rows if r["page_id"] == 6] == [["l:block:bad.com", "m:allow:ok.bad.com"]]
     assert len(rows) == 13
-    assert not any(r["blocked"] for r in urlfilter.judge(captures, entries.limit(0), "page_id").collect())
-    assert urlfilter.judge(captures.limit(0), entries, "page_id").count() == 0
+    assert not any(r["blocked"] for r in urlfilter.judge(captures, entries.limit(0)).collect())
+    assert urlfilter.judge(captures.limit(0), entries).count() == 0
     assert at("01-01") is not None
 
 
