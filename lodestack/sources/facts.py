@@ -137,7 +137,7 @@ class Facts:
             return pa.RecordBatch.from_arrays([pa.array([at] * len(rows)), pa.array(kinds), pa.array(payloads)], ["file", "fact", "payload"])
 
         self.spark = spark
-        self.rows = cut(files.mapInArrow(run, "file string, fact string, payload string"), "facts")
+        self.rows = cut(files.mapInArrow(run, "file string, fact string, payload string"), "facts", by="fact")
         self._check()
 
     def _check(self) -> None:

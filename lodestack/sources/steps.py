@@ -13,9 +13,12 @@ def shared_folder(spark: SparkSession) -> str:
     return (base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps").rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """`df` written and read again: its lineage ends, and a lost executor costs no earlier step."""
+def cut(df: DataFrame, name: str = "step", by: str | None = None) -> DataFrame:
+    """`df` written and read again: its lineage ends, and a lost executor costs no earlier step.
+
+    With `by`, a folder for each value of that column, so that a read of one value lists and scans only its own.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
