@@ -596,3 +596,99 @@ def protection_levels(spark, sf_dir):
     return read(spark, sf_dir, "supplier").where("s_suppkey < 1024").select("s_suppkey", M.protection(F.col("s_suppkey")).alias("protection"))
 
 
+
+
+# Jobs, plugins and further lookups.
+
+
+@query(_HITS.format(q="thwh") + "SELECT doc_id, ordinal, s AS start, line FROM c")
+def resumable_search(spark, sf_dir):
+    """A search job that is stopped after two of six chunks and taken up again by another: the rows of one scan."""
+    import uuid
+
+    from lodestack.sources.steps import shared_folder
+    from lodestack.streaming import jobs
+
+    path = f"{shared_folder(spark)}/search-{uuid.uuid4().hex}"
+    make = lambda: jobs.search_job(spark, path, read(spark, sf_dir, "documents"), "doc_id", "text", "thwh", chunks=6)
+    first, second = make(), make()
+    first.start()
+    first.run(most=2)
+    second.start(resume=True)
+    second.run()
+    return second.results().select("doc_id", "ordinal", "start", "line")
+
+
+@query("""SELECT doc_id, '{"characters": ' || length(text) || ', "lines": ' || (length(text) - length(replace(text, chr(10), '')) + CASE WHEN text LIKE '%' || chr(10) THEN 0 ELSE 1 END) || '}' AS result, CAST(NULL AS VARCHAR) AS error FROM documents WHERE length(text) > 0""")
+def source_plugin(spark, sf_dir):
+    """The sample plugin over every source; what a plugin raises would be its row's error."""
+    from lodestack.functions.plugins import analyze_sources, source_statistics
+
+    return analyze_sources(read(spark, sf_dir, "documents").where(F.length("text") > 0), "doc_id", "text", source_statistics)
+
+
+@query("""SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 40""")
+def cursor_pages(spark, sf_dir):
+    """Two pages of twenty: the second starts behind the sealed key of the first."""
+    orders = read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_orderdate")
+    order = ["o_orderdate", "o_orderkey"]
+    me = P.identity(tool="orders", status="P")
+    first = orders.orderBy(*order).limit(20)
+    last = first.agg(F.max(F.struct(*order)).alias("k")).select(F.col("k.o_orderdate").cast("string"), "k.o_orderkey").collect()
+    cursor = P.seal(me, list(last[0])) if last[0][1] is not None else None
+    rest = P.after(orders, order, P.unseal(cursor, me) if cursor else None).orderBy(*order).limit(20)
+    return first.unionByName(rest)
+
+
+@query("""SELECT conv_id, turn, line, CAST(e - length(t) AS BIGINT) AS start, CAST(e AS BIGINT) AS "end" FROM (
+  SELECT conv_id, turn, line, t, sum(length(t) + 1) OVER (PARTITION BY conv_id, turn ORDER BY line) - 1 AS e FROM (
+    SELECT conv_id, turn, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS t FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM conversations)))""")
+def line_offsets(spark, sf_dir):
+    """Where each line of each message starts and ends."""
+    talk = read(spark, sf_dir, "conversations").withColumn("k", F.struct("conv_id", "turn"))
+    return Q.line_offsets(talk, "k", "text").select("k.conv_id", "k.turn", "line", "start", "end")
+
+
+@query(_PLACES + """, a AS (SELECT child AS node, parent AS up FROM h UNION SELECT a.node, h.parent FROM a JOIN h ON h.child = a.up)
+SELECT p.sub, p.super, CASE WHEN p.sub = p.super OR EXISTS (SELECT 1 FROM a WHERE a.node = p.sub AND a.up = p.super) THEN true
+  WHEN EXISTS (SELECT 1 FROM a WHERE a.node = p.sub AND a.up = 'r1') THEN NULL ELSE false END AS assignable
+FROM (SELECT 's' || s_suppkey AS sub, 'r' || (s_suppkey % 5) AS super FROM supplier) p""")
+def assignability(spark, sf_dir):
+    """Proven, disproven, or unknown where an ancestor (here one region) is not loaded."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    pairs = read(spark, sf_dir, "supplier").select(name("s", "s_suppkey").alias("sub"), F.concat(F.lit("r"), (F.col("s_suppkey") % 5).cast("string")).alias("super"))
+    places = _places(spark, sf_dir)
+    loaded = places.select("child").union(places.select("parent")).distinct().where("child <> 'r1'")
+    return G.assignable(G.closure(places), pairs, loaded)
+
+
+@query("""SELECT p_partkey AS id, p_brand AS configuration, 'base' AS origin FROM part WHERE p_size <= 25 UNION ALL SELECT p_partkey, 'xl:' || p_brand, 'xl' FROM part WHERE p_size > 20""")
+def merged_splits(spark, sf_dir):
+    """A base table and a split's: configurations of the split are marked, and one id with two names would be an error."""
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit("app").alias("package"), F.col("p_type").alias("kind"), F.col("p_name").alias("name"), F.col("p_brand").alias("configuration"), "p_size")
+    return X.merge_splits(rows.where("p_size <= 25"), rows.where("p_size > 20"), "xl").select("id", "configuration", "origin")
+
+
+@query("""SELECT p_partkey AS id, p_name AS name FROM part WHERE p_type = (SELECT min(p_type) FROM part) AND contains(p_name, 'e') AND p_brand = 'Brand#12'""")
+def resource_lookup(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    kind = part.agg(F.min("p_type").alias("kind"))
+    rows = part.select(F.col("p_partkey").alias("id"), F.lit("app").alias("package"), F.col("p_type").alias("kind"), F.col("p_name").alias("name"), F.col("p_brand").alias("configuration"), F.col("p_name").alias("value"))
+    return X.select_resources(rows.join(F.broadcast(kind), "kind", "left_semi"), query="e", config="Brand#12").select("id", "name")
+
+
+@query("""WITH m AS (SELECT n_nationkey AS k, n_regionkey AS r, n_name FROM nation)
+SELECT 'r' || a.r || '.n' || a.k || '.run()V' AS declared, 'r' || b.r || '.c' || b.c || '.run()V' AS overriding
+FROM m a JOIN (SELECT c_custkey AS c, c_nationkey AS k, n_regionkey AS r, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey) b ON a.k = b.k
+WHERE a.k % 4 <> 1 AND (a.k % 4 <> 2 OR a.r = b.r) AND b.c_acctbal > 0""")
+def override_edges(spark, sf_dir):
+    """Which methods may run in place of an ancestor's: final ones never, package-private ones in their package."""
+    nations, customers = read(spark, sf_dir, "nation"), read(spark, sf_dir, "customer").where("c_acctbal > 0")
+    flags = [F.lit(False).alias("is_static"), F.lit(False).alias("is_private")]
+    package = F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))
+    up = nations.select(F.concat(package, F.lit(".n"), F.col("n_nationkey").cast("string")).alias("class_id"), package.alias("package"), F.lit("run").alias("name"), F.lit("run()V").alias("signature"), *flags, (F.col("n_nationkey") % 4 == 1).alias("is_final"), (F.col("n_nationkey") % 4 == 2).alias("is_package_private"))
+    both = customers.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+    own = F.concat(package, F.lit(".c"), F.col("c_custkey").cast("string"))
+    down = both.select(own.alias("class_id"), package.alias("package"), F.lit("run").alias("name"), F.lit("run()V").alias("signature"), *flags, F.lit(False).alias("is_final"), F.lit(False).alias("is_package_private"))
+    tree = both.select(own.alias("node"), F.concat(package, F.lit(".n"), F.col("n_nationkey").cast("string")).alias("ancestor"))
+    return G.overrides(up.unionByName(down), tree)
