@@ -303,7 +303,7 @@ def three_valued_or(spark, sf_dir):
     return facts.groupBy("source").agg(V.any_of(F.col("toxic") == 1).alias("exposed"))
 
 
-@query("""SELECT reason, count(*) AS n, to_json(list(doc_id ORDER BY doc_id)[1:3]) AS samples FROM (SELECT doc_id, coalesce('q' || quality || 't' || toxic, 'none') AS reason FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY reason""")
+@query("""SELECT reason, count(*) AS n, CAST(to_json(list(doc_id ORDER BY doc_id)[1:3]) AS VARCHAR) AS samples FROM (SELECT doc_id, coalesce('q' || quality || 't' || toxic, 'none') AS reason FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY reason""")
 def coverage_histogram(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels"), "doc_id", "left")
     reason = F.coalesce(F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string")), F.lit("none"))
@@ -316,7 +316,7 @@ def histogram_overflow(spark, sf_dir):
     return A.histogram(read(spark, sf_dir, "part"), F.col("p_name"), "p_partkey", categories=5).select("reason", "n")
 
 
-@query("""SELECT to_json(list(p_type ORDER BY p_type)[1:4]) AS "values", count(*) AS n_distinct, count(*) <= 4 AS complete FROM (SELECT DISTINCT p_type FROM part)""")
+@query("""SELECT CAST(to_json(list(p_type ORDER BY p_type)[1:4]) AS VARCHAR) AS "values", count(*) AS n_distinct, count(*) <= 4 AS complete FROM (SELECT DISTINCT p_type FROM part)""")
 def capped_distinct(spark, sf_dir):
     return A.capped_distinct(read(spark, sf_dir, "part"), "p_type", 4).select(F.to_json("values").alias("values"), "n_distinct", "complete")
 
