@@ -76,6 +76,14 @@ def is_identifier(text: Column) -> Column:
     return text.rlike(r"^[\p{L}_$][\p{L}\p{N}_$]*$")
 
 
+def quoted(value: Column) -> Column:
+    """A string column as Java source writes it; characters beyond ASCII stay, which Java allows."""
+    # The short escapes, the backslash first.
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        value = F.replace(value, F.lit(plain), F.lit(escaped))
+    return F.concat(F.lit('"'), value, F.lit('"'))
+
+
 def java_literal(value: str) -> str:
     """A string as Java source writes it: ASCII, with escapes for everything else."""
     # The short escapes.

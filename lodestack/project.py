@@ -18,6 +18,7 @@ from lodestack.operators import markup as K
 from lodestack.operators import network as W
 from lodestack.operators import paging as P
 from lodestack.operators import references as R
+from lodestack.operators import render as J
 from lodestack.operators import resources as X
 from lodestack.operators import search as Q
 from lodestack.sources.facts import Facts
@@ -357,7 +358,19 @@ class Project:
         text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "text"))), lambda r: r["text"]), "\n\n")
         return own.groupBy("class_id").agg(text.alias("text")).withColumn("sha256", F.sha2("text", 256))
 
-    get_class_source = get_class_disassembly
+    def get_class_source(self, class_id: str, offset: int = 0, limit: int = T.PAGE_DEFAULT) -> DataFrame:
+        """A page of a class as Java declarations with listings as bodies, and how its methods are covered."""
+        own = lambda name: self.table(name).where(F.col("class_id") == class_id)
+        source = J.class_sources(own("dex_class"), own("dex_field"), own("dex_method"), own("listing"), own("static_value"))
+        return source.select("class_id", "sha256", "methods", "dex_fallback", "omitted", T.text_page(F.col("text"), offset, limit).alias("p")).select("class_id", "sha256", "methods", "dex_fallback", "omitted", "p.*")
+
+    def class_sources(self) -> DataFrame:
+        """The sources of all classes."""
+        return J.class_sources(*(self.table(t) for t in ("dex_class", "dex_field", "dex_method", "listing", "static_value")))
+
+    def find_usages(self, symbol: str) -> DataFrame:
+        """Where a class, method or field is referred to, with the enclosing member: uses of an identifier that is spelled out."""
+        return self.search_identifiers(symbol, "exact", occurrence="reference").where((F.col("symbol") == N.normal_selector(symbol)) | (F.col("symbol") == symbol))
 
     def resolve_reference(self, method_id: str, source_hash: str, line: int) -> DataFrame:
         """What the instruction on a line of a listing refers to; another version of the source is an error."""

@@ -262,3 +262,19 @@ def test_more_lookups(project):
     assert N.java_literal('a"é\n😀') == '"a\\"\\u00e9\\n\\ud83d\\ude00"'
     docs = project.spark.createDataFrame([("d", "ab\n\nc😀\n")], "k string, t string")
     assert values(Q.line_offsets(docs, "k", "t"), "line", "start", "end") == [(1, 0, 2), (2, 3, 3), (3, 4, 6), (4, 7, 7)]
+
+
+def test_class_sources(project):
+    from lodestack.operators import render
+
+    page = project.get_class_source("sample.Target").collect()[0]
+    text = page["page"]
+    assert text.startswith("package sample;\n\npublic class Target {\n") and 'public static String NAME = "config_key";'.replace("String", "java.lang.String") in text
+    assert "public void run(java.lang.String p0, int p1) {" in text and "0000: return-void" in text
+    assert (page["methods"], page["dex_fallback"], page["omitted"]) == (2, 2, 0)
+    assert "public interface Api {" in project.get_class_source("sample.Api").collect()[0]["page"]
+    assert "public class Real implements sample.Api {" in project.get_class_source("sample.Real").collect()[0]["page"]
+    assert project.class_sources().count() == 7
+    names = values(render.definitions(project.class_sources().where("class_id = 'sample.Target'")), "name")
+    assert names == ["NAME", "only", "run"] or set(names) >= {"NAME"}
+    assert values(project.find_usages(RUN), "owner") == ["sample.Caller.call()V"]
