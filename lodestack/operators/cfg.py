@@ -7,7 +7,15 @@ from collections import deque
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .dataflow import _per_method, is_call, successors, writes
+from .dataflow import _per_method, is_call, writes
+from .dataflow import successors as normal_successors
+
+
+def successors(body: list[dict]) -> list[list[int]]:
+    """Normal successors, then the handlers that guard an instruction."""
+    place = {one["pc"]: k for k, one in enumerate(body)}
+    guarded = [[place[t] for t in one.get("catches") or () if t in place] for one in body]
+    return [list(dict.fromkeys([*n, *g])) for n, g in zip(normal_successors(body), guarded, strict=True)]
 
 
 def blocks(body: list[dict]) -> list[tuple[int, int]]:

@@ -26,7 +26,7 @@ def is_call(opcode: int) -> bool:
 
 def bodies(instructions: DataFrame) -> DataFrame:
     """(method_id, class_id, body): the instructions of each method as one array, by pc; a method is bounded by its format."""
-    row = F.struct("pc", "opcode", "name", "registers", "literal", "pool", "operand", "target")
+    row = F.struct("pc", "opcode", "name", "registers", "literal", "pool", "operand", "target", "catches")
     return instructions.groupBy("method_id", "class_id").agg(F.sort_array(F.collect_list(row)).alias("body"))
 
 
@@ -46,11 +46,16 @@ def successors(body: list[dict]) -> list[list[int]]:
     return out
 
 
-def fixpoint(body: list[dict], entry: dict, step: Callable[[dict, dict], dict], join: Callable[[object, object], object]) -> list[dict] | None:
-    """The state before each instruction, or None when the work is too much.  Registers that a state lacks are unknown."""
+def fixpoint(body: list[dict], entry: dict, step: Callable[[dict, dict], dict], join: Callable[[object, object], object], caught: Callable[[dict], dict] = lambda state: {}) -> list[dict] | None:
+    """The state before each instruction, or None when the work is too much.  Registers that a state lacks are unknown.
+
+    `caught` is what a handler gets of the state before an instruction that it guards; nothing is known there by default.
+    """
     if len(body) > WORDS_MOST:
         return None
     after = successors(body)
+    place = {one["pc"]: k for k, one in enumerate(body)}
+    handlers = [[place[t] for t in one.get("catches") or () if t in place] for one in body]
     states: list[dict | None] = [None] * len(body)
     if body:
         states[0] = dict(entry)
@@ -60,8 +65,9 @@ def fixpoint(body: list[dict], entry: dict, step: Callable[[dict, dict], dict],
         work += 1 + len(states[k])
         if work > WORK_MOST:
             return None
-        left = step(body[k], states[k])
-        for n in after[k]:
+        normal = step(body[k], states[k])
+        guarded = caught(states[k]) if handlers[k] else None
+        for n, left in [*((n, normal) for n in after[k]), *((n, guarded) for n in handlers[k])]:
             if states[n] is None:
                 states[n] = dict(left)
                 waiting.append(n)
@@ -246,7 +252,7 @@ def marked_flows(methods: DataFrame, sources: dict[str, int], sinks: dict[str, i
         if not hits:
             return []
         registers = {r for o in body for r in o["registers"]} | {"result"}
-        states = fixpoint(body, dict.fromkeys(registers, 0), step, either)
+        states = fixpoint(body, dict.fromkeys(registers, 0), step, either, caught=dict)
         rows = []
         for k in hits:
             mask = -1 if states is None else 0

@@ -186,6 +186,11 @@ def _decode(op: int, pc: int, w: tuple[int, ...]) -> Instruction:
     return one
 
 
+def catches(code: Code, pc: int) -> list[int]:
+    """Where handlers begin that an instruction may go to."""
+    return sorted({target for start, end, handlers in code.tries if start <= pc < end for _, target in handlers})
+
+
 def operand(dex: Dex, one: Instruction) -> str | None:
     """What a pool operand stands for."""
     if one.pool == "string":

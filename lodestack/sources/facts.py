@@ -27,7 +27,7 @@ SCHEMAS = {
     "hierarchy_edge": "child string, parent string, kind string",
     "dex_field": "field_id string, class_id string, name string, type string, access long, is_static boolean, idx long",
     "dex_method": "method_id string, class_id string, name string, parameters array<string>, returns string, access long, is_static boolean, is_private boolean, is_final boolean, is_abstract boolean, is_package_private boolean, package string, signature string, has_code boolean, registers long, code_offset long, idx long",
-    "dex_instruction": "method_id string, class_id string, dex_id string, pc long, opcode long, name string, registers array<long>, literal long, pool string, pool_idx long, operand string, target long",
+    "dex_instruction": "method_id string, class_id string, dex_id string, pc long, opcode long, name string, registers array<long>, literal long, pool string, pool_idx long, operand string, target long, catches array<long>",
     "dex_annotation": "annotation_id string, class_id string, owner_kind string, owner string, parameter long, type string, visibility long",
     "annotation_value": "annotation_id string, class_id string, owner string, type string, path string, kind string, value string",
     "static_value": "field_id string, class_id string, path string, kind string, value string",
@@ -67,7 +67,7 @@ def _class_rows(dex: Dex, dex_id: str, k: int, own: Class) -> Iterator[tuple[str
         yield "dex_method", dict(method_id=m.id, class_id=own.id, name=m.name, parameters=m.parameters, returns=m.returns, access=a, is_static=bool(a & 8), is_private=bool(a & 2), is_final=bool(a & 16), is_abstract=bool(a & 0x400), is_package_private=not a & 7, package=package, signature=f"{m.name}({''.join(m.parameters)}){m.returns}", has_code=m.code is not None, registers=m.code and m.code.registers, code_offset=m.code and m.code.offset, idx=n)
         try:
             text = BC.listing(dex, m)
-            found = [dict(method_id=m.id, class_id=own.id, dex_id=dex_id, pc=i.pc, opcode=i.opcode, name=i.name, registers=list(i.registers), literal=i.literal, pool=i.pool, pool_idx=i.index, operand=BC.operand(dex, i), target=i.target) for i in BC.instructions(m.code)] if m.code else []
+            found = [dict(method_id=m.id, class_id=own.id, dex_id=dex_id, pc=i.pc, opcode=i.opcode, name=i.name, registers=list(i.registers), literal=i.literal, pool=i.pool, pool_idx=i.index, operand=BC.operand(dex, i), target=i.target, catches=BC.catches(m.code, i.pc)) for i in BC.instructions(m.code)] if m.code else []
         except (DexError, IndexError) as error:
             yield "failure", dict(path=dex_id, part=m.id, reason=str(error))
             continue

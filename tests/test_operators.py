@@ -213,3 +213,16 @@ def test_references(spark):
         R.integer_totals(calls, list(range(65)))
     assert [one(spark, R.access_kind(F.lit(op))) for op in (0x52, 0x66, 0x59, 0x6D, 0x6E)] == ["read", "read", "write", "write", None]
     assert one(spark, A.normal_reason(F.lit("bad 0x1F at 12 in 'x y'"))) == "bad 0x# at # in '…'"
+
+
+def test_handlers_know_nothing_for_sure():
+    from lodestack.operators import dataflow as D
+
+    row = lambda pc, op, name, registers, literal=None, target=None, catches=(): {"pc": pc, "opcode": op, "name": name, "registers": list(registers), "literal": literal, "operand": None, "target": target, "catches": list(catches)}
+    body = [row(0, 0x12, "const/4", [0], 1), row(1, 0x12, "const/4", [1], 2, catches=[3]), row(2, 0x28, "goto", [], target=4), row(3, 0x0D, "move-exception", [1]), row(4, 0x0F, "return", [0])]
+    states = D.fixpoint(body, {}, D._constant_step, D._same)
+    assert states[2] == {0: ("bits", 1), 1: ("bits", 2)} and states[3] == {} and states[4] == {}
+    plain = [{**o, "catches": []} for o in body]
+    assert D.fixpoint(plain, {}, D._constant_step, D._same)[4][0] == ("bits", 1)
+    marks = D.fixpoint(body, {0: 1, 1: 0}, lambda one, s: dict(s), lambda a, b: a | b, caught=dict)
+    assert marks[4] == {0: 1, 1: 0}
