@@ -68,3 +68,13 @@ def structural_stack(fields: DataFrame, methods: DataFrame) -> DataFrame:
     )
     request = held.where("h = 1 and u = 1 and s = 1").select("class_id", F.lit("request").alias("role"))
     return heads.unionByName(urls).unionByName(request)
+
+
+def creations(arguments: DataFrame) -> DataFrame:
+    """(method_id, pc, service, base_url): services that a method creates by class literal, with the one base address that
+    the same method sets; null where it sets none or several."""
+    made = arguments.where(F.col("callee").rlike(r"\.create\(Ljava/lang/Class;\)Ljava/lang/Object;$") & (F.col("kind") == "type"))
+    address = arguments.where(F.col("callee").rlike(r"\.baseUrl\(Ljava/lang/String;\)") & (F.col("kind") == "string"))
+    one = address.groupBy("method_id").agg(F.countDistinct("value").alias("_n"), F.min("value").alias("_url"))
+    service = F.translate(F.regexp_extract("value", r"^L([^;]+);$", 1), "/", ".")
+    return made.join(one, "method_id", "left").select("method_id", "pc", service.alias("service"), F.when(F.col("_n") == 1, F.col("_url")).alias("base_url"))

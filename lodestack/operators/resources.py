@@ -81,3 +81,21 @@ def rendered_value(kind: Column, data: Column, string: Column) -> Column:
         .when(kind == "boolean", (data != 0).cast("string"))
         .when(kind == "color", F.concat(F.lit("#"), hexed))
     )
+
+
+# Framework methods by simple signature, the argument that is a resource, and its kind.
+CONTRACTS = (
+    ("setContentView(I)V", 0, "layout"), ("inflate(ILandroid/view/ViewGroup;)Landroid/view/View;", 0, "layout"), ("inflate(ILandroid/view/ViewGroup;Z)Landroid/view/View;", 0, "layout"),
+    ("getString(I)Ljava/lang/String;", 0, "string"), ("getText(I)Ljava/lang/CharSequence;", 0, "string"), ("setText(I)V", 0, "string"), ("setTitle(I)V", 0, "string"),
+    ("getColor(I)I", 0, "color"), ("getDrawable(I)Landroid/graphics/drawable/Drawable;", 0, "drawable"), ("setImageResource(I)V", 0, "drawable"), ("findViewById(I)Landroid/view/View;", 0, "id"),
+)
+
+
+def resource_arguments(arguments: DataFrame, resources: DataFrame) -> DataFrame:
+    """(method_id, pc, callee, id, kind, name): proven arguments that are resources by the contract of what is called."""
+    listed = F.array(*[F.struct(F.lit(s).alias("member"), F.lit(a).cast("long").alias("argument"), F.lit(k).alias("kind")) for s, a, k in CONTRACTS])
+    contracts = arguments.sparkSession.range(1).select(F.explode(listed).alias("c")).select("c.*")
+    member = F.regexp_extract("callee", r"([^.]*\(.*)$", 1)
+    proven = arguments.where("kind = 'bits'").select("method_id", "pc", "callee", "argument", F.col("value").cast("long").alias("id"), member.alias("member"))
+    known = resources.select("id", "kind", "name").distinct()
+    return proven.join(F.broadcast(contracts), ["member", "argument"]).join(known, ["id", "kind"]).select("method_id", "pc", "callee", "id", "kind", "name")

@@ -423,6 +423,18 @@ class Project:
         rows = services.select("class_id", F.concat_ws(" ", "verb", "route").alias("detail"), F.lit(None).cast("long").alias("sites"))
         return used.withColumn("evidence", F.lit("api_usage")).unionByName(shapes.withColumn("evidence", F.lit("structural_stack"))).unionByName(rows.withColumn("evidence", F.lit("service_method")))
 
+    def service_creations(self) -> DataFrame:
+        return W.creations(D.constant_arguments(self.bodies))
+
+    def resource_arguments(self) -> DataFrame:
+        """Calls whose argument is proven to be a resource of the kind that the called method takes."""
+        return X.resource_arguments(D.constant_arguments(self.bodies), self.table("resource_variant"))
+
+    def list_annotation_deeplinks(self) -> DataFrame:
+        """(class_id, owner, type, uri): addresses in annotations that declare destinations, arrays included."""
+        wanted = F.regexp_extract("type", r"([^/$;]+);$", 1).rlike("(?i)destination|deeplink") & F.regexp_extract("path", r"^([a-z]+)", 1).isin("uri", "uris", "value", "path", "paths")
+        return self.table("annotation_value").where(wanted & (F.col("kind") == "string")).select("class_id", "owner", "type", F.col("value").alias("uri"))
+
     def services_outside(self, package_prefix: str) -> DataFrame:
         """One row: how many service methods a scope holds, and how many it leaves out."""
         inside = S.in_scope(F.col("class_id"), [package_prefix])

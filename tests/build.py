@@ -374,6 +374,13 @@ def navigation():
         {"type": "Lkotlin/Metadata;", "elements": [("d2", ("array", [("string", "Lsample/Api;"), ("string", "fetchUser")])), ("k", ("int", -1)), ("x", ("annotation", ("Lnote/Inner;", [("on", ("boolean", True))])))]},
     ])
     b.add("Lsample/Real;", super=OBJECT, interfaces=["Lsample/Api;"], methods=[{"name": "get", "returns": "V", "params": ["Ljava/lang/String;"], "registers": 2, "ins": 2, "code": [0x000E]}])
+    create = b.method("Lretrofit2/Retrofit;", "create", OBJECT, ["Ljava/lang/Class;"])
+    view = b.method("Landroid/app/Activity;", "setContentView", "V", ["I"])
+    api = b.type("Lsample/Api;")
+    # const-class v0, Api; invoke-virtual {v2, v0} create; const v0, 0x7f020000; invoke-virtual {v1, v0} setContentView; return-void
+    boot = [0x001C, api, 0x206E, create, 0x0002, 0x0014, 0x0000, 0x7F02, 0x206E, view, 0x0001, 0x000E]
+    note = {"type": "Lnav/Destination;", "elements": [("uri", ("array", [("string", "app://boot")]))]}
+    b.add("Lsample/Boot;", super=OBJECT, methods=[{"name": "start", "returns": "V", "registers": 3, "ins": 1, "code": boot}], annotations=[note])
     return b.build()
 
 

@@ -26,7 +26,7 @@ RUN = "sample.Target.run(Ljava/lang/String;I)V"
 
 
 def test_lists(project):
-    assert values(project.get_all_classes(), "class_id") == ["sample.Api", "sample.Caller", "sample.Case", "sample.Hello", "sample.Real", "sample.Sub", "sample.Target"]
+    assert values(project.get_all_classes(), "class_id") == ["sample.Api", "sample.Boot", "sample.Caller", "sample.Case", "sample.Hello", "sample.Real", "sample.Sub", "sample.Target"]
     assert values(project.get_all_classes("ca", case_sensitive=False), "class_id") == ["sample.Caller", "sample.Case"]
     assert values(project.get_all_classes(package_prefix="sample.Ca"), "class_id") == []
     assert values(project.get_methods_of_class("sample.Target"), "name") == ["only", "run"]
@@ -79,7 +79,7 @@ def test_evidence(project):
     assert values(project.resolve_switch_case_callers("sample.Case", 3), "method_id", "verdict") == [("sample.Caller.make()V", "matched")]
     assert values(project.resolve_switch_case_callers("sample.Case", 4), "verdict") == ["excluded"]
     assert values(project.find_network_stacks("services"), "verb", "route", "status") == [("GET", "/users/{id}", "proven")]
-    assert project.find_webview_chooser_flows().count() == 0 and project.cross_namespace_calls().count() == 0
+    assert project.find_webview_chooser_flows().count() == 0
     assert "sample.Caller" not in values(project.find_forwarders(), "method_id")
 
 
@@ -125,13 +125,13 @@ def test_data_source(spark, tmp_path):
     (tmp_path / "b.dex").write_bytes(B.hello())
     datasource.register(spark)
     load = lambda t: spark.read.format("package_facts").option("table", t).load(str(tmp_path))
-    assert load("dex_class").count() == 7
+    assert load("dex_class").count() == 8
     assert values(load("dex_method").where(F.col("class_id") == "sample.Hello"), "method_id") == ["sample.Hello.answer()I"]
 
 
 def test_save(project, tmp_path):
     project.facts.save(str(tmp_path / "out"))
-    assert project.spark.read.parquet(str(tmp_path / "out" / "dex_class")).count() == 7
+    assert project.spark.read.parquet(str(tmp_path / "out" / "dex_class")).count() == 8
 
 
 def test_export_resumes_and_verifies(project, tmp_path):
@@ -219,7 +219,7 @@ def test_registry(spark, tmp_path):
     one = registry.open_apk(str(tmp_path))
     assert registry.open_apk(str(tmp_path)) is one
     info = registry.get_instance_info(one.id)
-    assert info["classes"] == 6 and info["complete"] and info["has_manifest"]
+    assert info["classes"] == 7 and info["complete"] and info["has_manifest"]
     assert registry.get_health() == [{"instance_id": one.id, "ready": True, "failures": 0}]
     assert registry.list_instances(package="sample").count() == 1 and registry.list_instances(package="no").count() == 0
     registry.forget_instance(one.id)
@@ -274,7 +274,16 @@ def test_class_sources(project):
     assert (page["methods"], page["dex_fallback"], page["omitted"]) == (2, 2, 0)
     assert "public interface Api {" in project.get_class_source("sample.Api").collect()[0]["page"]
     assert "public class Real implements sample.Api {" in project.get_class_source("sample.Real").collect()[0]["page"]
-    assert project.class_sources().count() == 7
+    assert project.class_sources().count() == 8
     names = values(render.definitions(project.class_sources().where("class_id = 'sample.Target'")), "name")
     assert names == ["NAME", "only", "run"] or set(names) >= {"NAME"}
     assert values(project.find_usages(RUN), "owner") == ["sample.Caller.call()V"]
+
+
+def test_creations_and_resources(project):
+    assert values(project.service_creations(), "method_id", "service", "base_url") == [("sample.Boot.start()V", "sample.Api", None)]
+    assert values(project.resource_arguments(), "method_id", "kind", "name") == [("sample.Boot.start()V", "layout", "main")]
+    assert values(project.list_annotation_deeplinks(), "class_id", "uri") == [("sample.Boot", "app://boot")]
+    used = project.find_network_stacks()
+    assert ("sample.Boot", "retrofit", "api_usage") in values(used, "class_id", "detail", "evidence")
+    assert values(project.cross_namespace_calls(), "method_id") == ["sample.Boot.start()V"] * 2
