@@ -6,6 +6,8 @@ was visited, and a written table that cuts the lineage.  Filters apply to result
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,21 +18,39 @@ HIERARCHY_LEVELS, CALL_LEVELS = 256, 100
 NODES_MOST, EDGES_MOST = 5_000, 20_000
 
 
+class _Grown:
+    """A table that grows by written parts: a part is written once, and many small ones are merged into one."""
+
+    def __init__(self, first: DataFrame, name: str, most: int = 16):
+        self.parts, self.name, self.most = [cut(first, name)], name, most
+
+    def add(self, part: DataFrame) -> DataFrame:
+        """Write a part and give it back as it was written."""
+        written = cut(part, self.name)
+        self.parts.append(written)
+        if len(self.parts) > self.most:
+            self.parts = [cut(self.df, self.name)]
+        return written
+
+    @property
+    def df(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+
 def _some(df: DataFrame) -> bool:
     return df.limit(1).count() > 0
 
 
 def closure(edges: DataFrame, child: str = "child", parent: str = "parent", levels: int = HIERARCHY_LEVELS) -> DataFrame:
     """(node, ancestor, distance): every strict ancestor at its least distance; cycles end by themselves."""
-    step = edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p")).distinct()
-    frontier = cut(step.select(F.col("_c").alias("node"), F.col("_p").alias("ancestor"), F.lit(1).alias("distance")), "closure")
-    known = frontier
+    step = cut(edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p")).distinct(), "edges")
+    known = _Grown(step.select(F.col("_c").alias("node"), F.col("_p").alias("ancestor"), F.lit(1).alias("distance")), "closure")
+    frontier = known.df
     for level in range(2, levels + 1):
         nearer = frontier.join(step, frontier["ancestor"] == step["_c"]).select("node", F.col("_p").alias("ancestor")).distinct()
-        frontier = cut(nearer.join(known, ["node", "ancestor"], "left_anti").withColumn("distance", F.lit(level)), "closure")
+        frontier = known.add(nearer.join(known.df, ["node", "ancestor"], "left_anti").withColumn("distance", F.lit(level)))
         if not _some(frontier):
-            return known
-        known = cut(known.unionByName(frontier), "closure")
+            return known.df
     raise ValueError(f"the hierarchy is deeper than {levels} levels")
 
 
@@ -46,16 +66,17 @@ def walk(edges: DataFrame, roots: DataFrame, direction: str = "callees", depth:
         raise ValueError("direction or depth")
     forward = edges.select(F.col("source").alias("_from"), F.col("target").alias("_to"))
     backward = edges.select(F.col("target").alias("_from"), F.col("source").alias("_to"))
-    step = {"callees": forward, "callers": backward, "both": forward.unionByName(backward)}[direction].distinct()
-    frontier = cut(roots.select(F.col(roots.columns[0]).alias("root")).distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("depth")), "walk")
-    seen = frontier
+    step = {"callees": forward, "callers": backward, "both": forward.unionByName(backward)}[direction]
+    # Duplicate edges cost less than a shuffle of all of them: what a level reaches is made distinct anyway.
+    step = cut(step, "edges") if depth > 1 else step
+    seen = _Grown(roots.select(F.col(roots.columns[0]).alias("root")).distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("depth")), "walk")
+    frontier = seen.df
     for level in range(1, depth + 1):
         reached = frontier.join(step, frontier["node"] == step["_from"]).select("root", F.col("_to").alias("node")).distinct()
-        frontier = cut(reached.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(level)), "walk")
+        frontier = seen.add(reached.join(seen.df, ["root", "node"], "left_anti").withColumn("depth", F.lit(level)))
         if not _some(frontier):
             break
-        seen = cut(seen.unionByName(frontier), "walk")
-    return seen
+    return seen.df
 
 
 def subgraph(edges: DataFrame, nodes: DataFrame, keep: Column | None = None) -> DataFrame:
@@ -81,18 +102,20 @@ def canonical(targets: DataFrame, declared: DataFrame, parents: DataFrame, level
     is not loaded; what it does not find is null.  A constructor is its own class's or nobody's.
     """
     wanted = targets.select("owner", "member").distinct()
-    here = declared.select(F.col("owner").alias("at"), "member").distinct()
+    here = cut(declared.select(F.col("owner").alias("at"), "member").distinct(), "declared")
     waiting = cut(wanted.withColumn("at", F.col("owner")), "canonical")
     found = None
     for _ in range(levels):
         hit = waiting.join(here, ["at", "member"], "left_semi").withColumnRenamed("at", "declaring")
-        found = hit if found is None else found.unionByName(hit)
-        found = cut(found, "canonical")
+        if found is None:
+            found = _Grown(hit, "canonical")
+        else:
+            found.add(hit)
         up = waiting.join(here, ["at", "member"], "left_anti").where(~F.col("member").startswith("<init>"))
         waiting = cut(up.join(parents, up["at"] == parents["child"]).select("owner", "member", F.col("parent").alias("at")), "canonical")
         if not _some(waiting):
             break
-    return wanted.join(found, ["owner", "member"], "left")
+    return wanted.join(found.df, ["owner", "member"], "left")
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, forward: bool = True, rounds: int = HIERARCHY_LEVELS) -> DataFrame:
