@@ -33,8 +33,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .store import bound_batches
 
-#: Entries of each of the two generations of matches, and of the pairs, that a worker remembers.
+#: Entries of each of the two generations of matches, and of the pairs, that a worker remembers unless told otherwise.
 MEMORY = 300_000
 #: Bytes that one lookup covers when the tokens that end at a byte are sought.
 STEM = 3
@@ -50,8 +51,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Vocabulary:
     """Ranks, the merge that made each token, and compatibility of neighbours."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], memory: int = MEMORY):
+        self.ranks, self.memory = ranks, memory
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
         self.merge: dict[tuple[int, int], int] = {}
@@ -115,9 +116,9 @@ class Vocabulary:
         """The last token of each prefix of data; `known` are those of its first prefixes."""
         stems, fits, border = self._stems, self._fits, self._border_holds
         out = known if isinstance(known, list) else list(known)
-        if len(fits) >= MEMORY:
+        if len(fits) >= self.memory:
             fits.clear()
-        if len(stems) >= MEMORY:
+        if len(stems) >= self.memory:
             stems.clear()
         for end in range(len(out) + 1, (len(data) if to is None else to) + 1):
             at = end - STEM
@@ -205,12 +206,12 @@ class Encoded:
 class Tokenizer:
     """A vocabulary with the pattern that cuts texts; remembers what short matches encode to.
 
-    Two generations of at most MEMORY matches are kept: a full one becomes the old one, from which
+    Two generations of at most `memory` matches are kept: a full one becomes the old one, from which
     matches that come again move up.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.vocabulary = Vocabulary(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = MEMORY):
+        self.vocabulary = Vocabulary(ranks, memory)
         self._split = regex.compile(pattern).findall
         self._known: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
@@ -233,7 +234,7 @@ class Tokenizer:
             out = b"".join([long[p] if p in long else known[p] for p in pieces])
         else:
             out = b"".join(map(known.__getitem__, pieces))
-        if len(known) >= MEMORY:
+        if len(known) >= self.vocabulary.memory:
             self._known, self._old = {}, known
         return out
 
@@ -241,17 +242,6 @@ class Tokenizer:
         return np.frombuffer(self.packed(text), "<i4").tolist()
 
 
-_built: dict[str, Tokenizer] = {}
-
-
-def _tokenizer(name: str, shared, pattern: str) -> Tokenizer:
-    """One a worker process, built at the first use of a vocabulary."""
-    if name not in _built:
-        _built.clear()
-        _built[name] = Tokenizer(shared.value, pattern)
-    return _built[name]
-
-
 def _name(ranks: dict[bytes, int], pattern: str) -> str:
     out = hashlib.sha256(pattern.encode())
     for token, rank in sorted(ranks.items()):
@@ -259,30 +249,39 @@ def _name(ranks: dict[bytes, int], pattern: str) -> str:
     return out.hexdigest()
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
-    """`docs` with `ids`, the encoding of the text column, in place of it (and of an `ids` it had)."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", memory: int = MEMORY, decoded: bool = False) -> DataFrame:
+    """`docs` with `ids`, the encoding of the text column, in place of it (and of an `ids` it had).
+
+    With `decoded`, the bytes that the ids stand for as well: the same as `decode` of the result, in the same worker, where a
+    second Python stage would need a worker of its own a task.
+    """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    others = [c for c in docs.columns if c not in (text, "ids")]
-    name = _name(ranks, pattern)
+    others = [c for c in docs.columns if c not in (text, "ids") and not (decoded and c == "decoded")]
+    name = f"{_name(ranks, pattern)}:{memory}"
     place = len(others)
+    names = [*others, "ids", *(["decoded"] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(name, shared, pattern)
+        tokenizer = K.hold(name, lambda: Tokenizer(shared.value, pattern, memory))
+        of = tokenizer.vocabulary.bytes_of.__getitem__
         for batch in batches:
             named = pa.RecordBatch.from_arrays([batch.column(place)], ["text"])
             at = 0
-            for part in K.slices(named, "text", 1 << 20):
+            for part in K.slices(named, "text"):
                 coded = [tokenizer.packed(value) if value else b"" for value in part.column(0).to_pylist()]
                 ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in coded]))).astype(np.int32)
-                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+                columns = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<i4")))]
+                if decoded:
+                    columns.append(pa.array([b"".join(map(of, np.frombuffer(x, "<i4").tolist())) for x in coded], pa.binary()))
                 rest = batch.slice(at, part.num_rows)
-                yield pa.RecordBatch.from_arrays([*(rest.column(i) for i in range(place)), column], [*others, "ids"])
+                yield pa.RecordBatch.from_arrays([*(rest.column(i) for i in range(place)), *columns], names)
                 at += part.num_rows
 
     slim = docs.select(*others, text)
     fields = [f for f in slim.schema.fields if f.name != text]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return slim.mapInArrow(run, f"{schema}, ids array<int>")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "ids array<int>", *(["decoded binary"] if decoded else [])])
+    return slim.mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .store import Steps, bound_batches, sent
 
 SPAN = 10
 K_GRAM = 5
@@ -63,6 +64,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """(item_id, size, words, bucket) of every distinct window; bucket is that of each fingerprint in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         with np.errstate(over="ignore"):
             for batch in batches:
                 for part in K.slices(batch, "text"):
@@ -90,9 +92,11 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 def candidates(docs: DataFrame, bitmaps: dict[int, bytes]) -> DataFrame:
     """(row_id, doc_id, n_words, start, size, words): one row of each document, with its windows to confirm."""
     spark = docs.sparkSession
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(bitmaps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         maps = {size: np.frombuffer(bits, np.uint8) for size, bits in shared.value.items()}
         known = lambda size, value: (maps[size][_bucket(value) >> 3] >> (_bucket(value) & 7).astype(np.uint8)) & 1 > 0
         with np.errstate(over="ignore"):
@@ -176,5 +180,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that share no window with the benchmark, with all their columns."""
-    hit = contamination(docs, benchmark).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    found = contamination(docs, benchmark).where("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias("_hit")).distinct()
+    hit = sent(Steps(docs.sparkSession, "contaminated").write(found))
+    return docs.join(hit, docs["doc_id"].cast("long") == F.col("_hit"), "left_anti")

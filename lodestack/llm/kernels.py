@@ -7,13 +7,15 @@ and splitting code points give the same words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+T = TypeVar("T")
 
 _codes = np.arange(256, dtype=np.uint8)
 #: A-Z to a-z, everything else as it is.
@@ -24,6 +26,23 @@ SPACED = ~((_codes == 0x20) | ((_codes >= 0x09) & (_codes <= 0x0D)))
 ALNUM = ((_codes >= 0x30) & (_codes <= 0x39)) | ((_codes >= 0x61) & (_codes <= 0x7A)) | (_codes >= 0x80)
 
 
+_held: dict[str, object] = {}
+
+
+def hold(name: str, build: Callable[[], T]) -> T:
+    """One large object a worker process, kept between tasks; another one takes its place."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = build()
+    return _held[name]
+
+
+def release() -> None:
+    """Let go of it: workers are reused, and what one operator keeps would weigh on the next."""
+    _held.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .store import bound_batches
 
 #: Most labelled documents that are drawn for training, calibration included.
 SAMPLE_ROWS = 2400
@@ -149,12 +150,14 @@ def sample(docs: DataFrame, usable: Column, rows: int = SAMPLE_ROWS) -> tuple[li
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with lang_pred, score and rejected."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     docs = docs.select(names)
     place = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         model = shared.value
         for batch in batches:
             named = pa.RecordBatch.from_arrays([batch.column(place)], ["text"])

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import Steps
+from .store import Steps, sent
 
 SHINGLE = 5
 THRESHOLD = 75
@@ -51,8 +51,6 @@ LEAF = 256
 GRID = 8
 #: A block with at most this many near pairs a row gives pairs to confirm, another one its full sets.
 PAIRS = 8
-#: Ids that are broadcast to pick texts by; beyond that the join is shuffled.
-BROADCAST_IDS = 2_000_000
 #: Pairs estimated below this many of 128 equal values are not confirmed.
 NEAR = 77
 
@@ -89,6 +87,7 @@ def profiles(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, a 128-bit digest of the set, and its minwise values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         with np.errstate(over="ignore"):
             for batch in batches:
                 for part in K.slices(batch, "text"):
@@ -127,6 +126,7 @@ def _expand(members: DataFrame) -> DataFrame:
     """One level down: (id, nodes, sketch) to (node, id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
@@ -144,6 +144,7 @@ def _by_block(blocks: DataFrame, columns: list[str], work, schema: str) -> DataF
     """`work(table)` on the rows of each block of more than one row; blocks are small by construction."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         held: pa.Table | None = None
         found: list[pa.RecordBatch] = []
 
@@ -298,22 +299,18 @@ def _grid(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "id", "label", F.explode(places).alias("p")).select(F.xxhash64("node", "p.x", "p.y", "p.kind").alias("block"), "id", "label")
 
 
-def _sent(ids: DataFrame) -> DataFrame:
-    """`ids`, to be broadcast while they are few enough, so that texts stay where they are read."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-
-
 def _items(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
     """(id, items): the full shingle sets of the documents whose id is in `needed`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         with np.errstate(over="ignore"):
             for batch in batches:
                 for part in K.slices(batch, "text"):
                     found = [x.tobytes() for x in _sets(part.column("text"), size)]
                     yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, pa.binary())], ["id", "items"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(_sent(needed), "id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(sent(needed), "id", "left_semi")
     return texts.mapInArrow(run, "id long, items binary")
 
 
@@ -321,6 +318,7 @@ def _confirm(pairs: DataFrame, items: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) with 100 * |A and B| >= threshold * |A or B| on the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("items_a"), batch.column("items_b"), strict=True):
@@ -385,6 +383,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     classes = reps.select("digest_a", "digest_b", "id")
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         for batch in batches:
             short = (_matrix(batch.column("sketch")) & 0xFF).astype(np.uint8) if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in short], pa.binary())], ["id", "short"])
@@ -453,6 +452,6 @@ def distinct_documents(docs: DataFrame, size: int = SHINGLE, threshold: int = TH
     found = Steps(docs.sparkSession, "kept").write(near_duplicates(docs, size, threshold)).where("doc_id is not null")
     ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     identity = docs["doc_id"].cast("long") == F.col("_id")
-    once = docs.join(_sent(ids.where("not kept or n > 1").select("_id")), identity, "left_anti")
-    again = docs.join(_sent(ids.where("kept and n > 1").select("_id")), identity, "left_semi")
+    once = docs.join(sent(ids.where("not kept or n > 1").select("_id")), identity, "left_anti")
+    again = docs.join(sent(ids.where("kept and n > 1").select("_id")), identity, "left_semi")
     return once.unionByName(again.dropDuplicates(["doc_id"]))

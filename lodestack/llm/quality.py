@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .store import bound_batches
 
 _CONTINUATION = (np.arange(256) >= 0x80) & (np.arange(256) < 0xC0)
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -161,6 +162,7 @@ def passes(column: pa.Array, rules: list[Rule]) -> np.ndarray:
 
 def ordered(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules in the order that the sample's estimates give."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(text).alias("text")).limit(sample_rows).collect()
     names = plan(pa.array([r[0] for r in rows], pa.large_string()), rules)
     return sorted(rules, key=lambda rule: names.index(rule.name))
@@ -171,6 +173,7 @@ def assess(docs: DataFrame, verdict: tuple[Rule, ...] = VERDICT, sample_rows: in
     cascade = ordered(docs, verdict, sample_rows=sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         for batch in batches:
             for part in K.slices(batch, "text"):
                 text = part.column("text")
@@ -194,6 +197,7 @@ def filter_documents(docs: DataFrame, rules: tuple[Rule, ...] = BASE + VERDICT,
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         for batch in batches:
             named = pa.RecordBatch.from_arrays([batch.column(place)], ["text"])
             at = 0

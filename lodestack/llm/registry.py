@@ -24,8 +24,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks, pattern = vocabulary()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # The digest and the length need the ids once; decoding then reads the same column.
-    coded = bpe.decode(bpe.encode(docs, ranks, pattern), ranks)
+    coded = bpe.encode(docs, ranks, pattern, decoded=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

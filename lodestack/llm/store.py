@@ -7,16 +7,25 @@ tasks that it ran, not the steps before them.
 
 from __future__ import annotations
 
-import contextlib
 import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch: it is held by the JVM, by the Python worker, and in what is made of it.
 BATCH_BYTES = 16 << 20
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_BYTES where they are larger; the results do not depend on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(name, "64m")).strip().lower().removesuffix("b")
+    if not now.isdigit() or int(now) <= 0 or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_steps"
     return base.rstrip("/")
@@ -27,29 +36,18 @@ class Steps:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bound_batches(spark)
         self.base = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._at = 0
 
     def write(self, df: DataFrame) -> DataFrame:
         self._at += 1
         path = f"{self.base}/{self._at}"
-        with self._small_batches():
-            df.write.parquet(path)
+        df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._written_to = path
         return out
 
-    @contextlib.contextmanager
-    def _small_batches(self):
-        """Arrow batches of at most BATCH_BYTES while a step runs, which bounds what a Python worker holds."""
-        name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", self.spark.conf
-        before = conf.get(name, None)
-        conf.set(name, str(BATCH_BYTES))
-        try:
-            yield
-        finally:
-            conf.unset(name) if before is None else conf.set(name, before)
-
     def release(self) -> None:
         """Let Spark remove the shuffle files of steps that nothing refers to any more."""
         gc.collect()
@@ -60,3 +58,8 @@ class Steps:
         for table in tables:
             path = jvm.org.apache.hadoop.fs.Path(table._written_to)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sent(ids: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """A table of ids, to be broadcast while it has at most `most` rows, so that texts stay where they are read."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids

@@ -49,6 +49,8 @@ def test_bpe_equals_library_and_round_trips(spark, small, vocabulary, reference)
     docs = documents(spark, small).select("doc_id", "text").unionByName(frame(spark, [(1000 + i, t) for i, t in EDGES]))
     rows = bpe.decode(bpe.encode(docs.withColumn("copy", F.col("text")), ranks, pattern), ranks).collect()
     assert len(rows) == docs.count()
+    one_pass = bpe.encode(docs, ranks, pattern, decoded=True).collect()
+    assert [(r["doc_id"], r["ids"], r["decoded"]) for r in one_pass] == [(r["doc_id"], r["ids"], r["decoded"]) for r in rows]
     for r in rows:
         text = r["copy"] or ""
         assert r["ids"] == reference.encode_ordinary(text)
