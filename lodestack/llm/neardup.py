@@ -397,7 +397,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     members = steps.write(_expand(reps.select("id", root_list.alias("nodes"), "sketch")))
     # Ends: members of a node that never part agree in all minwise values, and are linked at once.
     while True:
-        counts = members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        # Written, so that the join below has plain inputs and adaptive execution can split a large node's rows.
+        counts = steps.write(members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
         # Only ids that share a node go on; most nodes hold one.
         shared = steps.write(members.join(counts, "node"))
         steps.drop(members)
@@ -413,7 +414,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
         labelled = with_label(shared.drop("n"))
         parts = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
         tops = parts.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("parts"))
-        tops = tops.where("parts > 1").select("node", "n", F.col("top.label").alias("main"), (F.col("n") - F.col("top.n")).alias("others"))
+        tops = steps.write(tops.where("parts > 1").select("node", "n", F.col("top.label").alias("main"), (F.col("n") - F.col("top.n")).alias("others")))
         left = steps.write(labelled.join(tops, "node"))
         steps.drop(shared)
         small, large = left.where(F.col("others") <= GRID * LEAF), left.where(F.col("others") > GRID * LEAF)
@@ -430,7 +431,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
         steps.drop(pairs)
         deeper = large.groupBy("id").agg(F.collect_set("node").alias("nodes")).join(reps, "id")
         members = steps.write(_expand(deeper))
-        steps.drop(left, doubtful)
+        steps.drop(left, doubtful, counts, tops)
         if not members.limit(1).count():
             break
         del counts, shared, blocks, pairs, labelled, parts, tops, left, small, large, doubtful, deeper
