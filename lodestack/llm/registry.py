@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -119,23 +119,19 @@ FROM p LEFT JOIN g ON p.page_id = g.page_id
 """
 
 
-def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every assistant message as a call, every user message after one as its result.
+def _call_id(turn: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string")).cast("binary"))
 
-    `conversations` has no calls, so they are derived: the identifier from conversation and turn, the tool and the
-    arguments from the text; every third message uses the call two turns before.
-    """
+
+def _derived_calls(talk: DataFrame, arguments: Column, content: Column) -> DataFrame:
+    """Every assistant message as a call with `arguments`, every user message after one as its result, linked."""
     from . import chat
 
-    talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.col("text"), "[^A-Za-z ]", ""), " +", " "))
-    name = lambda turn: F.md5(F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string")).cast("binary"))
     size = F.length("text")
     tool = F.when(size % 4 == 0, "search").when(size % 4 == 1, "lookup").when(size % 4 == 2, "note").otherwise("paint")
-    arguments = F.concat(F.lit('{"query": "'), F.substring(plain, 1, 50), F.lit('", "pinned": '), (size % 2 == 0).cast("string"), F.lit(', "limit": '), (size % 10).cast("string"), F.lit("}"))
-    uses = F.when((size % 3 == 0) & (F.col("turn") >= 2), F.array(name(F.col("turn") - 2))).otherwise(F.array().cast("array<string>"))
-    calls = talk.where("role = 'assistant'").select("conv_id", "turn", name(F.col("turn")).alias("call_id"), tool.alias("name"), arguments.alias("arguments"), uses.alias("uses"))
-    results = talk.where("role = 'user'").select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.substring(plain, 1, 200).alias("content"))
+    uses = F.when((size % 3 == 0) & (F.col("turn") >= 2), F.array(_call_id(F.col("turn") - 2))).otherwise(F.array().cast("array<string>"))
+    calls = talk.where("role = 'assistant'").select("conv_id", "turn", _call_id(F.col("turn")).alias("call_id"), tool.alias("name"), arguments.alias("arguments"), uses.alias("uses"))
+    results = talk.where("role = 'user'").select("conv_id", "turn", _call_id(F.col("turn") - 1).alias("call_id"), content.alias("content"))
     schemas = {
         "search": {"query": chat.Field("string", True, 8, 60), "limit": chat.Field("integer", True, 1, 9)},
         "lookup": {"query": chat.Field("string", True, 1, 40), "region": chat.Field("string", False)},
@@ -144,6 +140,31 @@ def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link(calls, results, schemas)
 
 
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every assistant message as a call, every user message after one as its result.
+
+    `conversations` has no calls, so they are derived: the identifier from conversation and turn, the tool from the
+    text's length; every third message uses the call two turns before.  As OP4_SQL states, arguments carry the first 50 of a
+    text's ASCII letters and spaces, results the first 200; `tool_calls_whole_text` carries whole texts.
+    """
+    talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.col("text"), "[^A-Za-z ]", ""), " +", " "))
+    size = F.length("text")
+    arguments = F.concat(F.lit('{"query": "'), F.substring(plain, 1, 50), F.lit('", "pinned": '), (size % 2 == 0).cast("string"), F.lit(', "limit": '), (size % 10).cast("string"), F.lit("}"))
+    return _derived_calls(talk, arguments, F.substring(plain, 1, 200))
+
+
+def tool_calls_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls of op4 with every text whole and as it is: JSON-escaped in arguments and results, never cut or stripped.
+
+    A null text has arguments null.
+    """
+    talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    size = F.length("text")
+    members = F.struct(F.col("text").alias("query"), (size % 2 == 0).alias("pinned"), (size % 10).alias("limit"))
+    return _derived_calls(talk, F.when(F.col("text").isNotNull(), F.to_json(members)), F.col("text"))
+
+
 OP4_SQL = """
 WITH RECURSIVE t AS (
   SELECT conv_id, turn, role, length(text) AS n, trim(regexp_replace(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')) AS plain FROM conversations),
@@ -225,3 +246,5 @@ QUERIES = {
     for f in (op1_bpe, op2_decontaminate, op3_url_filter, op4_tool_calls, op5_near_duplicates, op6_quality, op7_secrets, op8_language, op9_sharding, op10_licenses)
 }
 ORACLE_SQL = {"op3_url_filter": OP3_SQL, "op4_tool_calls": OP4_SQL}
+#: Queries beside those of the operators, without SQL: tests hold them against plain versions.
+MORE = {"tool_calls_whole_text": tool_calls_whole_text}
