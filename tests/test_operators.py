@@ -226,3 +226,18 @@ def test_handlers_know_nothing_for_sure():
     assert D.fixpoint(plain, {}, D._constant_step, D._same)[4][0] == ("bits", 1)
     marks = D.fixpoint(body, {0: 1, 1: 0}, lambda one, s: dict(s), lambda a, b: a | b, caught=dict)
     assert marks[4] == {0: 1, 1: 0}
+
+
+def test_protection_levels_of_every_key(spark, tmp_path):
+    from lodestack.plans import catalog
+
+    spark.range(0, 70_000, 7).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    bases = ["normal", "dangerous", "signature", "signatureOrSystem", "internal"]
+    flags = ["privileged", "development", "appop", "pre23", "installer", "verifier", "preinstalled", "setup", "instant", "runtimeOnly", "oem", "vendorPrivileged"]
+
+    def want(k):
+        names = [bases[k % 16] if k % 16 < 5 else "unknown"] + [f for i, f in enumerate(flags) if k >> (4 + i) & 1]
+        return "|".join(names + ([f"0x{k >> 16 << 16:x}"] if k >> 16 else []))
+
+    got = {r["s_suppkey"]: r["protection"] for r in catalog.QUERIES["protection_levels"](spark, str(tmp_path)).collect()}
+    assert got == {k: want(k) for k in range(0, 70_000, 7)}
