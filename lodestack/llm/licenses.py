@@ -1,7 +1,8 @@
 """License scans by an exact set-similarity join, in DataFrame functions only.
 
-A text block (a line) meets a template when it holds at least `THRESHOLD` per cent of the template's distinct
-words.  All such pairs are found, none by chance:
+A text block is a line, or a run of as many consecutive words as the template has, across line breaks, so that a
+wrapped notice is one.  It meets a template when it holds at least `THRESHOLD` per cent of the template's distinct
+words.  All such pairs are found, none by chance.  For lines:
 
 * only words of templates can count, so a document is reduced to those; a document that holds too few of
   every template's words cannot have a block that meets one, and goes no further;
@@ -13,6 +14,10 @@ words.  All such pairs are found, none by chance:
   earlier ones, so a pair is kept only where that (with the words before, min(i, j)) reaches `need`;
 * what is left is counted in full.
 
+For runs, only documents that hold enough of a template's words as a whole are looked at, and of them the places
+of these words.  A word at place p is new to the runs that start behind its last occurrence and reach p, so
+the distinct words of all runs are a running sum over the ends of these ranges, two rows a place, whatever the length.
+
 The templates are a fixed list, so their index has a fixed size and is broadcast.  Base phrases are found on the
 words of the few documents that hold "license" at all.
 
@@ -26,7 +31,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import Steps
@@ -78,7 +83,7 @@ def base_places(words: Column) -> Column:
 
 
 def reduced(docs: DataFrame, templates, threshold: int) -> DataFrame:
-    """Per document: its base places and, where a template could be met, its blocks as sets of template words."""
+    """Per document: its base places and, where a template could be met, its lines as sets of template words and the places of these words."""
     sets = [sorted(set(_words_of(text))) for _, text in templates]
     need = [math.ceil(threshold * len(s) / 100) for s in sets]
     vocabulary = sorted(set().union(*sets))
@@ -87,13 +92,14 @@ def reduced(docs: DataFrame, templates, threshold: int) -> DataFrame:
     rows = rows.withColumn("words", words)
     # Words of ASCII letters in another case are folded only where they can matter.
     held = F.array_intersect(F.transform(F.array_distinct("words"), lambda w: F.lower(w)), _list(vocabulary))
-    rows = rows.select("row_id", "doc_id", "text", F.size("words").cast("long").alias("n_words"), F.when(F.col("text").rlike("(?i)license"), F.transform("words", _lowered)).alias("folded"), held.alias("held"))
+    rows = rows.select("row_id", "doc_id", "text", "words", F.size("words").cast("long").alias("n_words"), F.when(F.col("text").rlike("(?i)license"), F.transform("words", _lowered)).alias("folded"), held.alias("held"))
     may = F.lit(False)
     for s, n in zip(sets, need, strict=True):
         may = may | (F.size(F.array_intersect("held", _list(s))) >= n)
     least = min(need)
     line_words = lambda line: F.array_intersect(F.regexp_extract_all(_lowered(line), F.lit(WORD), F.lit(0)), _list(vocabulary))
     blocks = F.filter(F.transform(F.split("text", "\n"), line_words), lambda b: F.size(b) >= least)
+    marks = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("pos"), _lowered(w).alias("word"))), lambda m: m["word"].isin(vocabulary))
     none = F.array().cast("array<struct<start:bigint,label:string>>")
     return rows.select(
         "row_id",
@@ -102,7 +108,28 @@ def reduced(docs: DataFrame, templates, threshold: int) -> DataFrame:
         F.coalesce(base_places(F.col("folded")), none).alias("places"),
         F.col("held"),
         F.when(may, blocks).otherwise(F.array().cast("array<array<string>>")).alias("blocks"),
+        F.when(may, marks).alias("marks"),
+    )
+
+
+def met_by_runs(rows: DataFrame, templates, threshold: int) -> DataFrame:
+    """(row_id, label, containment) of the templates that a run of words meets, by the best run."""
+    each = []
+    for t, (label, text) in enumerate(templates):
+        words = sorted(set(_words_of(text)))
+        each.append(F.struct(F.lit(t).alias("t"), F.lit(label).alias("label"), _list(words).alias("words"), F.lit(len(words)).alias("n"), F.lit(math.ceil(threshold * len(words) / 100)).alias("need"), F.lit(len(_words_of(text))).alias("length")))
+    marked = rows.where("marks is not null").select("row_id", "marks", F.transform("marks", lambda m: m["word"]).alias("_words"))
+    may = F.filter(F.array(*each), lambda t: F.size(F.array_intersect(t["words"], F.col("_words"))) >= t["need"])
+    found = marked.select("row_id", "marks", F.explode(may).alias("t")).select("row_id", "marks", "t.*")
+    places = found.select("row_id", "t", "label", "n", "need", "length", F.explode(F.filter("marks", lambda m: F.array_contains(F.col("words"), m["word"]))).alias("m"))
+    last = F.lag("m.pos").over(Window.partitionBy("row_id", "t", "m.word").orderBy("m.pos"))
+    first = F.greatest(last + 1, F.col("m.pos") - F.col("length") + 1)
+    ends = places.withColumn("first", first).select(
+        "row_id", "t", "label", "n", "need", F.explode(F.array(F.struct(F.col("first").alias("at"), F.lit(1).alias("by")), F.struct((F.col("m.pos") + 1).alias("at"), F.lit(-1).alias("by")))).alias("e")
     )
+    held = F.sum("e.by").over(Window.partitionBy("row_id", "t").orderBy("e.at"))
+    best = ends.withColumn("held", held).groupBy("row_id", "t", "label", "n", "need").agg(F.max("held").alias("held"))
+    return best.where("held >= need").select("row_id", "label", (F.col("held") / F.col("n")).alias("containment"))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: int = THRESHOLD) -> DataFrame:
@@ -132,6 +159,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: int = THRESHOLD) -> Da
     shared = F.array_intersect("words", "held")
     pairs = pairs.where(F.get(shared, F.lit(0)) == F.col("word"))
     met = pairs.where(F.size(shared) >= F.col("need")).select("row_id", "label", (F.size(shared) / F.col("n")).alias("containment"))
+    met = met.unionByName(met_by_runs(rows, templates, threshold))
     met = met.groupBy("row_id", "label").agg(F.max("containment").alias("containment")).groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("label", "containment"))).alias("met"))
     out = rows.select("row_id", "doc_id", "n_words", "places").join(met, "row_id", "left")
     return out.select("doc_id", "n_words", "places", F.coalesce("met", F.array().cast("array<struct<label:string,containment:double>>")).alias("met"))

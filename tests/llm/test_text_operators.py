@@ -279,6 +279,29 @@ def test_license_places_and_labels(spark, small):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_wrapped_licenses_are_met(spark):
+    notices = [t for _, t in licenses.TEMPLATES]
+    wrap = lambda t, n, lead: "\n".join(lead + " ".join(t.split(" ")[i : i + n]) for i in range(0, len(t.split(" ")), n))
+    noise = "some words of the code and its source in any other form\nfor the text\n"
+    docs = [(100 * k + 10 * j + n, noise + wrap(t, n, lead) + "\n" + noise) for k, t in enumerate(notices) for j, lead in enumerate(("", " * ", "// ")) for n in (3, 9)]
+    # The words of a notice far from each other are no notice, and neither are too few of them.
+    docs += [(5000, "\n\n".join(w + " x" * 40 for w in notices[6].split(" "))), (5001, wrap(" ".join(notices[6].split(" ")[:14]), 5, "")), *((9000 + i, t) for i, t in EDGES)]
+    rows = {r["doc_id"]: {m["label"]: m["containment"] for m in r["met"]} for r in licenses.scan(frame(spark, docs)).collect()}
+    for i, text in docs:
+        best = {}
+        for label, template in licenses.TEMPLATES:
+            goal, n = set(alnum(template)), len(alnum(template))
+            words = alnum(text)
+            blocks = [alnum(line) for line in (text or "").split("\n")] + [words[a : a + n] for a in range(max(1, len(words) - n + 1))]
+            held = max(len(goal & set(b)) for b in blocks)
+            if 100 * held >= licenses.THRESHOLD * len(goal):
+                best[label] = max(best.get(label, 0), held / len(goal))
+        assert rows[i] == pytest.approx(best), i
+    for k, (label, _) in enumerate(licenses.TEMPLATES):
+        assert all(rows[100 * k + 10 * j + n][label] == 1 for j in range(3) for n in (3, 9))
+    assert rows[5000] == rows[5001] == {}
+
+
 def test_language_held_out_accuracy(spark, small):
     truth = {r["doc_id"]: r["lang"] for r in documents(spark, small).collect()}
     rows = registry.op8_language(spark, small).collect()
