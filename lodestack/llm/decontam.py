@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -89,9 +89,10 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return source.mapInArrow(run, "item_id long, size int, words string, buckets array<long>")
 
 
-def candidates(docs: DataFrame, bitmaps: dict[int, bytes]) -> DataFrame:
-    """(row_id, doc_id, n_words, start, size, words): one row of each document, with its windows to confirm."""
+def candidates(docs: DataFrame, bitmaps: dict[int, bytes], key: Column | None = None) -> DataFrame:
+    """(row_id, doc_id, n_words, start, size, words): one row of each document, with its windows to confirm; doc_id is `key`, where given, in binary."""
     spark = docs.sparkSession
+    identity, kind = (F.col("doc_id").cast("long"), "long") if key is None else (key, "binary")
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(bitmaps)
 
@@ -135,8 +136,8 @@ def candidates(docs: DataFrame, bitmaps: dict[int, bytes]) -> DataFrame:
                         ["row_id", "doc_id", "n_words", "start", "size", "words"],
                     )
 
-    source = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), "text")
-    return source.mapInArrow(run, "row_id long, doc_id long, n_words long, start long, size int, words string")
+    source = docs.select(F.monotonically_increasing_id().alias("row_id"), identity.alias("doc_id"), "text")
+    return source.mapInArrow(run, f"row_id long, doc_id {kind}, n_words long, start long, size int, words string")
 
 
 def bitmaps(windows: DataFrame) -> dict[int, bytes]:
@@ -150,14 +151,14 @@ def bitmaps(windows: DataFrame) -> dict[int, bytes]:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per row of `docs`: doc_id, n_words, n_hit, items (sorted item_ids as strings)."""
+def contamination(docs: DataFrame, benchmark: DataFrame, key: Column | None = None) -> DataFrame:
+    """Per row of `docs`: doc_id (or the binary `key`), n_words, n_hit, items (sorted item_ids as strings)."""
     windows = benchmark_windows(benchmark)
     maps = bitmaps(windows)
     listed = windows.groupBy("size", "words").agg(F.collect_set("item_id").alias("items"))
     if windows.count() <= BROADCAST_ROWS:
         listed = F.broadcast(listed)
-    met = candidates(docs, maps).join(listed, ["size", "words"], "left")
+    met = candidates(docs, maps, key).join(listed, ["size", "words"], "left")
     span = F.when(F.col("items").isNotNull(), F.struct("start", "size"))
     rows = met.groupBy("row_id").agg(
         F.first("doc_id").alias("doc_id"),
@@ -179,7 +180,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` that share no window with the benchmark, with all their columns."""
-    found = contamination(docs, benchmark).where("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias("_hit")).distinct()
-    hit = sent(Steps(docs.sparkSession, "contaminated").write(found))
-    return docs.join(hit, docs["doc_id"].cast("long") == F.col("_hit"), "left_anti")
+    """The rows of `docs` that share no window with the benchmark, with all their columns.
+
+    A verdict is of a text alone, so rows meet theirs by the digest of the text, whatever their doc_id is.
+    """
+    digest = F.unhex(F.sha2("text", 256))
+    found = contamination(docs, benchmark, digest).where("n_hit > 0").select(F.col("doc_id").alias("_hit")).distinct()
+    hit = sent(Steps(docs.sparkSession, "contaminated").write(found), 500_000)
+    return docs.join(hit, F.unhex(F.sha2(docs["text"], 256)) == F.col("_hit"), "left_anti")

@@ -133,13 +133,16 @@ def rendered(spans: Column) -> Column:
 def redact(docs: DataFrame, owner: str = "source", mark: str = "[secret]") -> DataFrame:
     """`docs` with every live-looking span replaced, and n_chars after it; other rows as they are.
 
-    Rows that no pattern matches go straight through; only the others are joined with their spans.
+    Rows that no pattern matches go straight through; only the others are joined with their spans.  Live spans
+    are of a text and the corpus, so rows meet theirs by the digest of the text, whatever their doc_id is.
     """
+    digest = F.unhex(F.sha2("text", 256))
     has = may_have(F.col("text"))
     dirty, clean = docs.where(has), docs.where(~has)
-    spans = scan(docs, owner).select("doc_id", F.filter("spans", lambda s: s["live"]).alias("_cuts")).where(F.size("_cuts") > 0)
-    spans = spans.groupBy("doc_id").agg(F.first("_cuts").alias("_cuts"))
-    joined = dirty.join(spans, "doc_id", "left")
+    by_text = docs.select(digest.alias("doc_id"), F.col(owner).alias("source"), "text")
+    spans = scan(by_text).select(F.col("doc_id").alias("_digest"), F.filter("spans", lambda s: s["live"]).alias("_cuts")).where(F.size("_cuts") > 0)
+    spans = spans.groupBy("_digest").agg(F.first("_cuts").alias("_cuts"))
+    joined = dirty.join(spans, digest == F.col("_digest"), "left")
     text = F.col("text")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 

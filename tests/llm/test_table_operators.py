@@ -5,7 +5,7 @@ import pytest
 from brute import base_spans, components, contaminated
 from pyspark.sql import functions as F
 
-from lodestack.llm import chat, registry, sharding, urlfilter
+from lodestack.llm import chat, decontam, registry, secrets, sharding, urlfilter
 from lodestack.llm import quality as quality_rules
 
 
@@ -180,3 +180,15 @@ def test_pipeline_stages_take_edges(spark, small):
             assert out.count() <= docs.count()
             if k < len(corpus_pipeline.STAGES) - 1:
                 assert out.columns == docs.columns
+
+
+def test_null_and_repeated_ids_are_cleaned_and_redacted(spark):
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    secret = "key ghp_9aZ8bY7cX6dW5eV4fU3g here"
+    rows = [(None, f"so {passage} it is", "a", 1), (None, "a clean text", "a", 2), (4, f"so {passage}", "a", 3), (4, "another clean text", "a", 4), (None, secret, "a", 5), (6, f"{secret} and more", "a", 6), (6, "api_key is not told, nor is any other", "a", 7), (6, "password=Zq8Lr5Tn2Vb7", "b", 8), (None, None, None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").withColumn("n_chars", F.length("text").cast("long"))
+    assert {r["n"] for r in decontam.clean_documents(docs, bench).collect()} == {2, 4, 5, 6, 7, 8, 9}
+    texts = {r["n"]: (r["text"], r["n_chars"]) for r in secrets.redact(docs).collect()}
+    want = {n: t for _, t, _, n in rows} | {5: "key [secret] here", 6: "key [secret] here and more", 8: "[secret]"}
+    assert texts == {n: (t, None if t is None else len(t)) for n, t in want.items()}
