@@ -372,6 +372,15 @@ def _merge(labels: DataFrame, links: DataFrame, steps: Steps) -> DataFrame:
     return out
 
 
+def _ties(profile: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): the id of each class of a doc_id that has several sets, and the doc_id."""
+    digest = F.struct("digest_a", "digest_b")
+    rows = profile.where("n_shingles > 0 and doc_id is not null").select("doc_id", "digest_a", "digest_b")
+    several = rows.groupBy("doc_id").agg(F.min(digest).alias("low"), F.max(digest).alias("high")).where("low <> high").select("doc_id")
+    tied = rows.join(several, "doc_id", "left_semi").distinct().join(classes, ["digest_a", "digest_b"])
+    return tied.select(F.col("id").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD, trees: int = TREES) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -391,8 +400,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     shorts = reps.mapInArrow(shorten, "id long, short binary")
     roots = np.arange(1, trees + 1, dtype=K.U64) * K.U64(0xC2B2AE3D27D4EB4F)
     root_list = F.array(*[F.lit(int(x)) for x in K.mix(roots).view(np.int64)])
-    # A doc_id with several texts joins itself in its own links, so its classes stay one document.
+    # A doc_id with several texts ties their classes from the start, so they stay one document.
     labels = steps.write(spark.createDataFrame([], "id long, label long"))
+    labels = _merge(labels, steps.write(_ties(profile, classes)), steps)
     with_label = lambda rows: rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     members = steps.write(_expand(reps.select("id", root_list.alias("nodes"), "sketch")))
     # Ends: members of a node that never part agree in all minwise values, and are linked at once.

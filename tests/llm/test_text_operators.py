@@ -181,6 +181,13 @@ def test_near_duplicates_empty_and_repeated(spark):
     assert sorted((r["doc_id"] for r in kept), key=str) == [1, None, None]
 
 
+def test_near_duplicates_link_through_a_repeated_id(spark):
+    x, y, z = ("a b c d e f g", "h i j k l m n", "o p q r s t u")
+    docs = frame(spark, [(3, x), (5, x), (5, y), (7, y), (7, z), (9, z), (8, "v w"), (None, x), (None, y)])
+    rows = {(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs).collect()}
+    assert rows == {(3, 3, True), (5, 3, False), (7, 3, False), (9, 3, False), (8, 8, True), (None, None, True)}
+
+
 def test_components_of_links(spark):
     from lodestack.llm.store import Steps
 
