@@ -50,9 +50,9 @@ def page_by_bytes(df: DataFrame, order: list, size: Column, offset: int = 0, bud
     """The longest run of rows from `offset` whose sizes fit the budget; the first row alone may not exceed it."""
     if not BYTES_LEAST <= budget <= BYTES_MOST:
         raise ContractError("INVALID_BUDGET", f"budget must be {BYTES_LEAST} to {BYTES_MOST}")
-    # No row is smaller than a byte, so budget rows are enough; the page itself is bounded.
+    # No row is smaller than a byte, so budget rows are enough.
     window = Window.orderBy(*order)
-    rows = df.withColumn("bytes", F.greatest(size.cast("long"), F.lit(1).cast("long"))).orderBy(*order).limit(offset + PAGE_MOST)
+    rows = df.withColumn("bytes", F.greatest(size.cast("long"), F.lit(1).cast("long"))).orderBy(*order).limit(offset + budget)
     rows = rows.withColumn("position", F.row_number().over(window).cast("long") - 1).where(F.col("position") >= offset)
     running = F.sum("bytes").over(window.rowsBetween(Window.unboundedPreceding, 0))
     fits = rows.withColumn("running", running)

@@ -241,3 +241,9 @@ def test_protection_levels_of_every_key(spark, tmp_path):
 
     got = {r["s_suppkey"]: r["protection"] for r in catalog.QUERIES["protection_levels"](spark, str(tmp_path)).collect()}
     assert got == {k: want(k) for k in range(0, 70_000, 7)}
+
+
+def test_a_page_by_bytes_ends_by_bytes_only(spark):
+    df = spark.range(3000).select(F.col("id").alias("k"))
+    got = P.page_by_bytes(df, ["k"], F.lit(10), offset=20, budget=16_384).agg(F.count(F.lit(1)), F.min("k"), F.max("k")).collect()[0]
+    assert tuple(got) == (1638, 20, 1657)
