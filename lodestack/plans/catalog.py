@@ -90,6 +90,12 @@ def whole_word_occurrences(spark, sf_dir):
     return docs.select("doc_id", T.whole_word(F.col("text"), "the").alias("n_words")).where("n_words > 0")
 
 
+@query("""SELECT doc_id, n_words FROM (SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+'), lambda w: w = 'the')) AS BIGINT) AS n_words FROM documents) WHERE n_words > 0""")
+def whole_word_all_languages(spark, sf_dir):
+    """Whole words of all documents, also of those without a language; word characters are Unicode's."""
+    return read(spark, sf_dir, "documents").select("doc_id", T.whole_word(F.col("text"), "the").alias("n_words")).where("n_words > 0")
+
+
 @query("""SELECT * FROM (SELECT doc_id, CAST((length(text) - length(replace(text, 'reer', ''))) / 4 AS BIGINT) AS n_matches,
   row_number() OVER (ORDER BY doc_id) - 1 AS position, count(*) OVER () AS total, CASE WHEN count(*) OVER () > 30 THEN 30 END AS next_offset
 FROM documents WHERE contains(text, 'reer')) WHERE position BETWEEN 10 AND 29""")

@@ -247,3 +247,16 @@ def test_a_page_by_bytes_ends_by_bytes_only(spark):
     df = spark.range(3000).select(F.col("id").alias("k"))
     got = P.page_by_bytes(df, ["k"], F.lit(10), offset=20, budget=16_384).agg(F.count(F.lit(1)), F.min("k"), F.max("k")).collect()[0]
     assert tuple(got) == (1638, 20, 1657)
+
+
+def test_whole_words_of_every_language(spark, small):
+    import re
+
+    from lodestack.plans import catalog
+
+    texts = ["the été the", "thé the", "éthe theé the_ 9the the9 the", "the\u0301 the", None, "the-the (the)"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.whole_word(F.col("t"), "the").alias("n")).collect()
+    assert {r["t"]: r["n"] for r in got if r["t"]} == {"the été the": 2, "thé the": 1, "éthe theé the_ 9the the9 the": 1, "the\u0301 the": 1, "the-the (the)": 3}
+    docs = spark.read.parquet(f"{small}/documents.parquet").collect()
+    want = {r["doc_id"]: n for r in docs if (n := len(re.findall(r"\bthe\b", r["text"] or "")))}
+    assert {r["doc_id"]: r["n_words"] for r in catalog.QUERIES["whole_word_all_languages"](spark, small).collect()} == want
