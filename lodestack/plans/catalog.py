@@ -496,6 +496,16 @@ def config_fallback(spark, sf_dir):
     return X.with_fallback(wanted, variants, "source", "lang", "v", "en")
 
 
+@query("""WITH w AS (SELECT DISTINCT o_custkey, 'P' AS status FROM orders), v AS (SELECT o_custkey, o_orderstatus, min(o_orderkey) AS v FROM orders GROUP BY 1, 2)
+SELECT w.o_custkey, w.status, coalesce(a.v, b.v) AS value, CASE WHEN a.v IS NOT NULL THEN false WHEN b.v IS NOT NULL THEN true END AS inherited
+FROM w LEFT JOIN v a ON a.o_custkey = w.o_custkey AND a.o_orderstatus = w.status LEFT JOIN v b ON b.o_custkey = w.o_custkey AND b.o_orderstatus = 'O'""")
+def config_fallback_gaps(spark, sf_dir):
+    """The same over all rows, with gaps of the data: some customers have no order in P, and some of those none in O either."""
+    orders = read(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderstatus").alias("status"), "o_orderkey")
+    wanted = orders.select("o_custkey", F.lit("P").alias("status")).distinct()
+    return X.with_fallback(wanted, orders.groupBy("o_custkey", "status").agg(F.min("o_orderkey").alias("v")), "o_custkey", "status", "v", "O")
+
+
 @query("""WITH RECURSIVE a AS (SELECT c_custkey AS start, CASE WHEN c_custkey % 50 = 3 THEN c_custkey - 2 WHEN c_custkey % 50 = 1 THEN c_custkey + 2 ELSE c_custkey + 1 END AS nxt FROM customer WHERE c_custkey % 10 <> 0),
 w AS (SELECT start, nxt AS at, 1 AS hops FROM a UNION ALL SELECT w.start, a.nxt, hops + 1 FROM w JOIN a ON a.start = w.at WHERE hops < 40)
 SELECT s.start, e.at AS target, CAST(e.hops AS BIGINT) AS hops, CASE WHEN e.at IS NULL THEN 'alias_cycle' ELSE 'resolved' END AS status
