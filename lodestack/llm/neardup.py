@@ -11,14 +11,16 @@ similarity is at least `threshold` per cent; classes are the connected component
   probability 0.81 at depth one, 0.69 at depth two and 0.53 at depth four; over 12 trees it is missed with
   probability 2e-9, 8e-7 and 1e-4.  Most nodes end at depth one.
 * Nodes are dealt into blocks of about `LEAF` classes (never one task for a node), whose most similar pairs
-  link a node up at linear cost.  A node with at most `GRID * LEAF` classes beside its largest component is
-  then compared exhaustively, group by group; a larger one is branched again.
+  link a node up at linear cost.  A node whose classes beside its largest component fill at most `GRID` blocks is
+  then compared exhaustively, block by block; a larger one is branched again.
 * In a block, sketches of 128 values drop pairs estimated under 0.60 (four standard deviations at
-  0.75).  A block first proposes a maximum spanning forest of the others, whose edges are confirmed on
-  the full sets: one a class and block at most.  Small nodes that still have such a pair between two components
-  then give those pairs where they are few; where they are many, the classes bring their full sets to
-  the block, where every pair is counted exactly.  So rows stay linear in the members of nodes, whatever the size of a group, and no pair that the
-  sketches allow goes unconfirmed.
+  0.75), and set sizes those that no overlap could link.  A block first proposes a maximum spanning forest of the
+  others, whose edges are confirmed on the full sets: one a class and block at most.  Small nodes that still have
+  such a pair between two components then give those pairs where there are no more of them than classes; where there
+  are more, the classes bring their full sets to the block, where every pair is counted exactly.  A pair that meets in
+  several nodes of a level is looked at in the first of them only.  So a step gives at most a row for each class and
+  block, a class of a node is in at most GRID blocks or one for each SIDE members, and no pair that the sketches allow goes unconfirmed.
+* Blocks are bounded by the sizes of their sets as well as by their number, so that long texts do not meet in a task.
 * Components are grown by distributed minimum labels with pointer jumping.
 
 No task sees more than a block, and nothing about documents reaches the driver but row counts.
@@ -36,21 +38,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import Steps, sent
+from .store import Steps, sent, spare
 
 SHINGLE = 5
 THRESHOLD = 75
 COORDINATES = 128
 TREES = 12
 LEAF = 256
-#: A node with at most GRID * LEAF classes beside its largest component is compared exhaustively.
-GRID = 8
-#: A block with at most this many near pairs a row gives pairs to confirm, another one its full sets.
-PAIRS = 8
+#: Classes of one side of a block that is compared exhaustively, and shingles of them all together (8 MB of full sets).
+SIDE = 1024
+WEIGHT = 1 << 20
+#: A node whose classes beside its largest component are dealt into at most so many groups is compared exhaustively.
+GRID = 2
 #: Pairs estimated below this many of 128 equal values are not confirmed.
 NEAR = 77
 
@@ -123,7 +126,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _expand(members: DataFrame) -> DataFrame:
-    """One level down: (id, nodes, sketch) to (node, id)."""
+    """One level down: (id, size, nodes, sketch) to (node, id, size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.release()
@@ -134,10 +137,10 @@ def _expand(members: DataFrame) -> DataFrame:
                 which = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
                 nodes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(K.U64)
                 row, child = _children(nodes, _matrix(part.column("sketch"))[which])
-                ids = part.column("id").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids[which[row]])], ["node", "id"])
+                of = pa.array(which[row])
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), part.column("id").take(of), part.column("size").take(of)], ["node", "id", "size"])
 
-    return members.select("id", "nodes", "sketch").mapInArrow(run, "node long, id long")
+    return members.select("id", "size", "nodes", "sketch").mapInArrow(run, "node long, id long, size long")
 
 
 def _by_block(blocks: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
@@ -192,13 +195,25 @@ def _forest(left: np.ndarray, right: np.ndarray, labels: np.ndarray, order: np.n
     return taken
 
 
-def _near(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """Pairs (i, j, agreeing values) of a block that differ in label and that the sketches allow."""
-    labels = table["label"].to_numpy()
+def _near(table: pa.Table, threshold: int) -> tuple[np.ndarray, ...]:
+    """Pairs (i, j, agreeing values) of a block that differ in label and that sketches and sizes allow.
+
+    With columns `side` and `home`, only those of different sides, or of any in a block that is their home.
+    """
+    labels, sizes = table["label"].to_numpy(), table["size"].to_numpy()
     short = np.frombuffer(b"".join(table["short"].to_pylist()), np.uint8).reshape(len(labels), COORDINATES)
+    side = None
+    if "side" in table.column_names and not table["home"][0].as_py():
+        side = table["side"].to_numpy()
     left, right, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in range(len(labels) - 1):
-        others = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
+        apart = labels[i + 1 :] != labels[i]
+        if side is not None:
+            apart &= side[i + 1 :] != side[i]
+        apart &= (100 * sizes[i + 1 :] >= threshold * sizes[i]) & (100 * sizes[i] >= threshold * sizes[i + 1 :])
+        others = np.flatnonzero(apart) + i + 1
+        if not len(others):
+            continue
         agree = (short[others] == short[i]).sum(axis=1)
         keep = agree >= NEAR
         if keep.any():
@@ -209,6 +224,21 @@ def _near(table: pa.Table) -> tuple[np.ndarray, ...]:
     return np.concatenate(left), np.concatenate(right), np.concatenate(score)
 
 
+def _met_before(table: pa.Table, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs share a node of `nodes` that comes before the block's own."""
+    node, lists = table["node"][0].as_py(), table["nodes"].combine_chunks()
+    count = np.diff(lists.offsets.to_numpy())
+    within = np.arange(len(count))[:, None], np.arange(max(int(count.max()), 1))[None]
+    # Every list is padded by the block's own node, which comes before nothing.
+    held = np.full((len(count), within[1].shape[1]), node, np.int64)
+    held[within[1] < count[:, None]] = lists.flatten().to_numpy()
+    out = np.zeros(len(left), bool)
+    for at in range(0, len(left), 4096):
+        a, b = held[left[at : at + 4096]], held[right[at : at + 4096]]
+        out[at : at + 4096] = ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] < node)).any(axis=(1, 2))
+    return out
+
+
 def _links(ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch | None:
     if not len(left):
         return None
@@ -216,32 +246,34 @@ def _links(ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def _propose(blocks: DataFrame) -> DataFrame:
+def _propose(blocks: DataFrame, threshold: int) -> DataFrame:
     """(a, b): a maximum spanning forest of each block's near pairs, by agreeing values."""
 
     def work(table: pa.Table) -> pa.RecordBatch | None:
-        left, right, score = _near(table)
+        left, right, score = _near(table, threshold)
         taken = _forest(left, right, table["label"].to_numpy(), np.argsort(-score, kind="stable"))
         return _links(table["id"].to_numpy(), left[taken], right[taken])
 
-    return _by_block(blocks, ["id", "label", "short"], work, "a long, b long")
+    return _by_block(blocks, ["id", "label", "size", "short"], work, "a long, b long")
 
 
-def _doubtful(blocks: DataFrame) -> DataFrame:
+def _doubtful(blocks: DataFrame, threshold: int) -> DataFrame:
     """(block, id, label, other) of what is still to be compared exactly.
 
-    A block with few near pairs for its rows gives the pairs (id, other), which recur in other blocks and are told
-    apart there only; one with many gives its rows, with other null.
+    A block with no more near pairs than rows in them gives the pairs (id, other); one with more gives its rows, with
+    other null.
     """
 
     def work(table: pa.Table) -> pa.RecordBatch | None:
-        left, right, _ = _near(table)
+        left, right, _ = _near(table, threshold)
+        if len(left):
+            first = ~_met_before(table, left, right)
+            left, right = left[first], right[first]
         rows = np.union1d(left, right)
         if not len(rows):
             return None
-        few = len(left) <= PAIRS * len(rows)
         ids = table["id"].to_numpy()
-        if few:
+        if len(left) <= len(rows):
             a, b = np.minimum(ids[left], ids[right]), np.maximum(ids[left], ids[right])
             block, label, other = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), pa.array(b)
         else:
@@ -249,7 +281,7 @@ def _doubtful(blocks: DataFrame) -> DataFrame:
             block, label = table["block"].to_numpy()[rows], table["label"].to_numpy()[rows]
         return pa.RecordBatch.from_arrays([pa.array(block), pa.array(a), pa.array(label), other], ["block", "id", "label", "other"])
 
-    return _by_block(blocks, ["id", "label", "short"], work, "block long, id long, label long, other long")
+    return _by_block(blocks, ["id", "label", "size", "short", "node", "nodes", "side", "home"], work, "block long, id long, label long, other long")
 
 
 def _exact(blocks: DataFrame, threshold: int) -> DataFrame:
@@ -266,7 +298,7 @@ def _exact(blocks: DataFrame, threshold: int) -> DataFrame:
         shared = np.zeros((len(sets), len(sets)), np.float32)
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
-        width = 8192
+        width = 2048
         for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
             a, b = np.searchsorted(column, [at, at + width])
             dense = np.zeros((len(sets), width), np.float32)
@@ -281,22 +313,36 @@ def _exact(blocks: DataFrame, threshold: int) -> DataFrame:
     return _by_block(blocks, ["id", "label", "items"], work, "a long, b long")
 
 
+def _parts(n: str, weight: str) -> Column:
+    """Into how many parts so many classes with so many shingles are dealt."""
+    return F.least(F.ceil(F.greatest(F.col(n) / SIDE, F.col(weight) / WEIGHT)), F.col(n)).cast("long")
+
+
 def _grid(nodes: DataFrame) -> DataFrame:
-    """(block, id, label): blocks of about 2 * LEAF rows in which all classes of a node with different labels meet.
+    """(block, node, id, label, side, home): blocks of about 2 * SIDE rows in which all classes of a node with different labels meet.
 
     The members of the largest component are dealt into slices, the others into at most GRID groups; every group
-    meets every slice and every other group.  A row is copied GRID times, or once a slice and group.
+    meets every slice and every other group.  A row is copied GRID times, or once a slice and group.  Members of one group (one
+    `side`) are compared in the block with the first slice only, which is their `home`.
     """
-    slots = F.ceil((F.col("n") - F.col("others")) / LEAF)
-    groups = F.ceil(F.col("others") / LEAF)
+    slots, groups = F.col("slots"), F.col("groups")
     zero, deal = F.lit(0).cast("long"), F.xxhash64("id", "node")
+    main = F.col("label") == F.col("main")
     slot, group = F.pmod(deal, slots), F.pmod(deal, groups)
     place = lambda x, y, kind: F.struct(x.alias("x"), y.alias("y"), F.lit(kind).alias("kind"))
     of_main = F.transform(F.sequence(zero, groups - 1), lambda g: place(slot, g, 0))
     of_slots = F.transform(F.sequence(zero, slots - 1), lambda s: place(s, group, 0))
     of_groups = F.transform(F.filter(F.sequence(zero, groups - 1), lambda g: g != group), lambda g: place(F.least(g, group), F.greatest(g, group), 1))
-    places = F.when(F.col("label") == F.col("main"), of_main).otherwise(F.concat(of_slots, of_groups))
-    return nodes.select("node", "id", "label", F.explode(places).alias("p")).select(F.xxhash64("node", "p.x", "p.y", "p.kind").alias("block"), "id", "label")
+    places = F.when(main, of_main).otherwise(F.concat(of_slots, of_groups))
+    side = F.when(main, F.lit(-1).cast("long")).otherwise(group)
+    rows = nodes.select("node", "id", "label", side.alias("side"), F.explode(places).alias("p"))
+    home = (F.col("p.kind") == 0) & (F.col("p.x") == 0)
+    return rows.select(F.xxhash64("node", "p.x", "p.y", "p.kind").alias("block"), "node", "id", "label", "side", home.alias("home"))
+
+
+def _ends(pairs: DataFrame, steps: Steps) -> DataFrame:
+    """The ids in pairs (a, b), written: they are read for their number and by both sides of a join."""
+    return steps.write(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
 
 
 def _items(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
@@ -388,23 +434,23 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     profile = steps.write(profiles(docs, size))
     # One row a class: its smallest doc_id and that document's minwise values, which the whole class shares.
     first = profile.where("n_shingles > 0 and doc_id is not null").groupBy("digest_a", "digest_b")
-    reps = steps.write(first.agg(F.min("doc_id").alias("id"), F.min("sketch").alias("sketch")))
+    reps = steps.write(first.agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("size"), F.min("sketch").alias("sketch")))
     classes = reps.select("digest_a", "digest_b", "id")
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.release()
         for batch in batches:
             short = (_matrix(batch.column("sketch")) & 0xFF).astype(np.uint8) if batch.num_rows else []
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in short], pa.binary())], ["id", "short"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("size"), pa.array([x.tobytes() for x in short], pa.binary())], ["id", "size", "short"])
 
-    shorts = reps.mapInArrow(shorten, "id long, short binary")
+    shorts = reps.select("id", "size", "sketch").mapInArrow(shorten, "id long, size long, short binary")
     roots = np.arange(1, trees + 1, dtype=K.U64) * K.U64(0xC2B2AE3D27D4EB4F)
     root_list = F.array(*[F.lit(int(x)) for x in K.mix(roots).view(np.int64)])
     # A doc_id with several texts ties their classes from the start, so they stay one document.
     labels = steps.write(spark.createDataFrame([], "id long, label long"))
     labels = _merge(labels, steps.write(_ties(profile, classes)), steps)
     with_label = lambda rows: rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    members = steps.write(_expand(reps.select("id", root_list.alias("nodes"), "sketch")))
+    members = steps.write(_expand(reps.select("id", "size", root_list.alias("nodes"), "sketch")))
     # Ends: members of a node that never part agree in all minwise values, and are linked at once.
     while True:
         # Written, so that the join below has plain inputs and adaptive execution can split a large node's rows.
@@ -414,37 +460,41 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
         steps.drop(members)
         deal = F.pmod(F.xxhash64("node", "id"), F.ceil(F.col("n") / LEAF))
         blocks = with_label(shared.select(F.xxhash64("node", deal).alias("block"), "id"))
-        pairs = steps.write(_propose(blocks.join(shorts, "id")).distinct())
+        pairs = steps.write(_propose(blocks.join(shorts, "id"), threshold).distinct())
         if pairs.limit(1).count():
-            items = _items(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), size)
-            links = steps.write(_confirm(pairs, items, threshold))
+            ends = _ends(pairs, steps)
+            links = steps.write(_confirm(pairs, _items(docs, ends, size), threshold))
             labels = _merge(labels, links, steps)
-            steps.drop(links)
+            steps.drop(links, ends)
         # Nodes that are one component need no more work.
         labelled = with_label(shared.drop("n"))
-        parts = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
-        tops = parts.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("parts"))
-        tops = steps.write(tops.where("parts > 1").select("node", "n", F.col("top.label").alias("main"), (F.col("n") - F.col("top.n")).alias("others")))
+        parts = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"))
+        tops = parts.groupBy("node").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.max(F.struct("n", "label", "weight")).alias("top"), F.count(F.lit(1)).alias("parts"))
+        tops = tops.where("parts > 1").select("node", F.col("top.label").alias("main"), F.col("top.n").alias("n"), F.col("top.weight").alias("weight"), (F.col("n") - F.col("top.n")).alias("rest"), (F.col("weight") - F.col("top.weight")).alias("rest_weight"))
+        tops = steps.write(tops.select("node", "main", _parts("n", "weight").alias("slots"), _parts("rest", "rest_weight").alias("groups")))
         left = steps.write(labelled.join(tops, "node"))
         steps.drop(shared)
-        small, large = left.where(F.col("others") <= GRID * LEAF), left.where(F.col("others") > GRID * LEAF)
-        doubtful = steps.write(_doubtful(_grid(small).join(shorts, "id")))
+        small, large = left.where(F.col("groups") <= GRID), left.where(F.col("groups") > GRID)
+        nodes = small.groupBy("id").agg(F.collect_list("node").alias("nodes"))
+        doubtful = steps.write(_doubtful(_grid(small).join(shorts.join(nodes, "id"), "id"), threshold))
         if doubtful.limit(1).count():
             single = doubtful.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
             single = steps.write(single.join(pairs, ["a", "b"], "left_anti"))
             dense = doubtful.where("other is null").drop("other")
-            by_pair = _confirm(single, _items(docs, single.select(F.explode(F.array("a", "b")).alias("id")).distinct(), size), threshold)
-            by_block = _exact(dense.join(_items(docs, dense.select("id").distinct(), size), "id"), threshold)
+            ends = _ends(single, steps)
+            whole = steps.write(dense.select("id").distinct())
+            by_pair = _confirm(single, _items(docs, ends, size), threshold)
+            by_block = _exact(dense.join(_items(docs, whole, size), "id"), threshold)
             links = steps.write(by_pair.unionByName(by_block))
             labels = _merge(labels, links, steps)
-            steps.drop(links, single)
+            steps.drop(links, single, ends, whole)
         steps.drop(pairs)
-        deeper = large.groupBy("id").agg(F.collect_set("node").alias("nodes")).join(reps, "id")
+        deeper = large.groupBy("id").agg(F.min("size").alias("size"), F.collect_set("node").alias("nodes")).join(reps.select("id", "sketch"), "id")
         members = steps.write(_expand(deeper))
         steps.drop(left, doubtful, counts, tops)
         if not members.limit(1).count():
             break
-        del counts, shared, blocks, pairs, labelled, parts, tops, left, small, large, doubtful, deeper
+        del counts, shared, blocks, pairs, labelled, parts, tops, left, small, large, nodes, doubtful, deeper
         steps.release()
     component = F.coalesce("label", "id")
     named = classes.join(labels, "id", "left").select("digest_a", "digest_b", component.alias("component"))
@@ -458,11 +508,13 @@ def distinct_documents(docs: DataFrame, size: int = SHINGLE, threshold: int = TH
     """The rows of `docs` whose doc_id is the smallest of its class, one each, with all their columns.
 
     Only ids are joined with the rows: the texts are shuffled once at most, and not at all while the ids
-    that go are few.  Of rows that repeat a doc_id one stays.
+    that go are few.  Of rows that repeat a doc_id that with the smallest text stays, then with the smallest other columns (as JSON).
     """
     found = Steps(docs.sparkSession, "kept").write(near_duplicates(docs, size, threshold)).where("doc_id is not null")
-    ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    identity = docs["doc_id"].cast("long") == F.col("_id")
-    once = docs.join(sent(ids.where("not kept or n > 1").select("_id")), identity, "left_anti")
-    again = docs.join(sent(ids.where("kept and n > 1").select("_id")), identity, "left_semi")
-    return once.unionByName(again.dropDuplicates(["doc_id"]))
+    own = spare(docs, "_id")
+    ids = found.groupBy(F.col("doc_id").alias(own)).agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    identity = F.col("doc_id").cast("long") == F.col(own)
+    once = docs.join(sent(ids.where("not kept or n > 1").select(own)), identity, "left_anti")
+    again = docs.join(sent(ids.where("kept and n > 1").select(own)), identity, "left_semi")
+    least = F.min_by(F.struct(*docs.columns), F.struct("text", F.to_json(F.struct(*docs.columns))))
+    return once.unionByName(again.groupBy(F.col("doc_id").cast("long").alias(own)).agg(least.alias("row")).select("row.*"))

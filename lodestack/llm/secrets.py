@@ -10,7 +10,11 @@ all rows hold is thinned before it is shuffled).  A value that `COPIED_OWNERS` o
 copied example; one with fewer, that is no placeholder and has varied characters, is live-looking.
 
 Base kinds (assign, access, hex) always give spans.  The method adds spans of further credential
-shapes (jwt, key, pem) where the value is live-looking, and marks each base span.
+shapes (jwt, key, pem) where the value is live-looking, and marks each base span.  A pem block goes from its first line to
+its last one, or, where that is missing, over the coded lines that follow; a bare first line is no key.
+
+Patterns are matched once: the matches are written with a row id, and all that follows starts from that table.  Rows
+without a match take part in no shuffle.
 
 Defined results: null and empty texts have no spans; there is no limit on length; matches of one kind
 never overlap, those of different kinds may; ties are ordered by start, then kind as listed; each row of
@@ -23,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import Steps
+from .store import Steps, spare
 
 # Kinds in the order of the digest, their patterns, group of the value, least characters.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -33,7 +37,7 @@ KINDS = (
     ("hex", r"[0-9a-f]{24,}", 0, 24, False),
     ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 32, True),
     ("key", r"\b(?:ghp|gho|ghu|ghs|sk|rk|glpat|xox[abprs])[-_][A-Za-z0-9_-]{16,}", 0, 19, True),
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 20, True),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----|\s*+(?:[A-Za-z0-9+/=]{16,}+\s*+)*+)", 0, 60, True),
 )
 BASE = ("assign", "access", "hex")
 #: A literal that a text with a match must hold, where the pattern has one: searched first.
@@ -65,30 +69,26 @@ def _matches(text: Column, at: int) -> Column:
     return F.when(there, found).otherwise(F.lit(None))
 
 
-def may_have(text: Column) -> Column:
-    """Whether any pattern matches somewhere: false proves that a text has no span."""
-    return F.coalesce(F.greatest(*[text.contains(LITERAL[k]) & text.rlike(p) if k in LITERAL else text.rlike(p) for k, p, *_ in KINDS]), F.lit(False))
+_MATCH = "struct<kind:int,i:int,gap:bigint,size:bigint,value:string>"
 
 
-def candidates(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """A row per match that is long enough, and at least one (with null kind) per document."""
-    text = F.col("text")
-    every = F.concat(*[F.coalesce(_matches(text, k), F.array().cast("array<struct<kind:int,i:int,gap:bigint,size:bigint,value:string>>")) for k in range(len(KINDS))])
-    base = docs.select(
-        F.monotonically_increasing_id().alias("row_id"),
-        F.col("doc_id").alias("doc_id"),
-        F.col(owner).cast("string").alias("owner"),
-        F.col(repository).cast("string").alias("repository"),
-        "text",
-    )
-    rows = base.select("row_id", "doc_id", "owner", "repository", F.explode_outer(every).alias("m")).select("row_id", "doc_id", "owner", "repository", "m.*")
+def matches(text: Column) -> Column:
+    """Array of the matches of all kinds, each with its gap to the one before it."""
+    none = F.array().cast(f"array<{_MATCH}>")
+    return F.concat(*[F.coalesce(_matches(text, k), none) for k in range(len(KINDS))])
+
+
+def candidates(found: DataFrame) -> DataFrame:
+    """A row (row_id, owner, repository, kind, start, end, value) per match in `found` (row_id, owner, repository, found).
+
+    A match that is too short has kind null: its row stays, so that every row_id with a match does.
+    """
+    rows = found.select("row_id", "owner", "repository", F.explode("found").alias("m")).select("row_id", "owner", "repository", "m.*")
     run = Window.partitionBy("row_id", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(run)).withColumn("start", F.col("end") - F.col("size"))
     least = F.element_at(F.create_map(*[F.lit(x) for k, kind in enumerate(KINDS) for x in (k, kind[3])]), F.col("kind"))
-    short = F.char_length("value") < least
-    # A match that is too short drops; its document stays.
-    blank = {c: F.when(~F.coalesce(short, F.lit(False)), F.col(c)) for c in ("kind", "start", "end", "value")}
-    return rows.select("row_id", "doc_id", "owner", "repository", *[e.alias(c) for c, e in blank.items()])
+    long = F.char_length("value") >= least
+    return rows.select("row_id", "owner", "repository", *[F.when(long, F.col(c)).alias(c) for c in ("kind", "start", "end", "value")])
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -98,29 +98,31 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("digest").agg(F.sum("n").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"))
 
 
-def classified(docs: DataFrame, owner: str = "source", repository: str = "doc_id", copied: int = COPIED_OWNERS) -> DataFrame:
-    """Candidates with n_repositories, n_owners, `live`, and `base`; still a row at least per document."""
-    found = Steps(docs.sparkSession, "secrets").write(candidates(docs, owner, repository))
-    counts = ownership(found)
-    digest = F.sha2("value", 256)
-    # Rows without a value go past the join, so that they meet in no task.
-    hits = found.where("value is not null").withColumn("digest", digest).join(counts, "digest").drop("digest")
-    none = found.where("value is null").withColumns({"n_repositories": F.lit(None).cast("long"), "n_owners": F.lit(None).cast("long")})
+def spans_of(found: DataFrame, steps: Steps, copied: int = COPIED_OWNERS) -> DataFrame:
+    """(row_id, spans) of the rows of `found` that have a match; spans are (start, kind, end, base, live) in order."""
+    rows = steps.write(candidates(found))
+    counts = ownership(rows)
+    hits = rows.where("value is not null").withColumn("digest", F.sha2("value", 256)).join(counts, "digest")
     varied = F.size(F.array_distinct(F.split("value", ""))) >= LEAST_DISTINCT
-    live = (F.col("n_owners") < copied) & varied & ~F.col("value").rlike(PLACEHOLDER)
+    # Coded key bodies hold any letters, so words in them tell nothing.
     pem = F.col("kind") == [k[0] for k in KINDS].index("pem")
-    return (
-        hits.unionByName(none.select(hits.columns))
-        .withColumn("live", F.coalesce(live & ~pem | pem, F.lit(False)))
-        .withColumn("base", F.coalesce(F.col("kind") < len(BASE), F.lit(False)))
-    )
+    live = (F.col("n_owners") < copied) & varied & (pem | ~F.col("value").rlike(PLACEHOLDER))
+    base = F.col("kind") < len(BASE)
+    told = hits.select("row_id", F.when(base | live, F.struct("start", "kind", "end", base.alias("base"), live.alias("live"))).alias("span"))
+    short = rows.where("value is null").select("row_id", F.lit(None).cast(told.schema["span"].dataType).alias("span"))
+    return told.unionByName(short).groupBy("row_id").agg(F.sort_array(F.collect_list("span")).alias("spans"))
 
 
 def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
     """Per row of `docs`: doc_id, and `spans`, an array of (start, kind, end, base, live) in order."""
-    rows = classified(docs, owner, repository)
-    span = F.when(F.col("kind").isNotNull() & (F.col("base") | F.col("live")), F.struct("start", "kind", "end", "base", "live"))
-    return rows.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(span)).alias("spans")).drop("row_id")
+    steps = Steps(docs.sparkSession, "secrets")
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), matches(F.col("text")).alias("found"))
+    rows = steps.write(rows)
+    dirty = rows.where(F.size("found") > 0)
+    found = spans_of(dirty, steps)
+    none = F.array().cast(found.schema["spans"].dataType)
+    clean = rows.where(F.size("found") == 0).select("doc_id", none.alias("spans"))
+    return clean.unionByName(dirty.select("row_id", "doc_id").join(found, "row_id").select("doc_id", "spans"))
 
 
 def rendered(spans: Column) -> Column:
@@ -133,16 +135,16 @@ def rendered(spans: Column) -> Column:
 def redact(docs: DataFrame, owner: str = "source", mark: str = "[secret]") -> DataFrame:
     """`docs` with every live-looking span replaced, and n_chars after it; other rows as they are.
 
-    Rows that no pattern matches go straight through; only the others are joined with their spans.  Live spans
-    are of a text and the corpus, so rows meet theirs by the digest of the text, whatever their doc_id is.
+    Rows meet their spans by a row id that is written with them, whatever their doc_id is; only rows with a match
+    are shuffled.
     """
-    digest = F.unhex(F.sha2("text", 256))
-    has = may_have(F.col("text"))
-    dirty, clean = docs.where(has), docs.where(~has)
-    by_text = docs.select(digest.alias("doc_id"), F.col(owner).alias("source"), "text")
-    spans = scan(by_text).select(F.col("doc_id").alias("_digest"), F.filter("spans", lambda s: s["live"]).alias("_cuts")).where(F.size("_cuts") > 0)
-    spans = spans.groupBy("_digest").agg(F.first("_cuts").alias("_cuts"))
-    joined = dirty.join(spans, digest == F.col("_digest"), "left")
+    steps = Steps(docs.sparkSession, "redact")
+    row, found, cuts = spare(docs, "_row"), spare(docs, "_found"), spare(docs, "_cuts")
+    rows = steps.write(docs.select("*", F.monotonically_increasing_id().alias(row), matches(F.col("text")).alias(found)))
+    clean, dirty = rows.where(F.size(found) == 0), rows.where(F.size(found) > 0)
+    named = dirty.select(F.col(row).alias("row_id"), F.col(owner).cast("string").alias("owner"), F.col(row).cast("string").alias("repository"), F.col(found).alias("found"))
+    spans = spans_of(named, steps).select(F.col("row_id").alias(row), F.filter("spans", lambda s: s["live"]).alias(cuts))
+    joined = dirty.select(*docs.columns, row).join(spans, row)
     text = F.col("text")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
@@ -151,9 +153,10 @@ def redact(docs: DataFrame, owner: str = "source", mark: str = "[secret]") -> Da
         put = F.when(s["end"] > done["at"], F.when(s["start"] >= done["at"], F.concat(between, F.lit(mark))).otherwise(F.lit(""))).otherwise(F.lit(""))
         return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.concat(done["out"], put).alias("out"))
 
-    done = F.aggregate("_cuts", start, cut, lambda d: F.concat(d["out"], F.substring(text, (d["at"] + 1).cast("int"), F.char_length(text))))
-    joined = joined.withColumn("text", F.when(F.col("_cuts").isNotNull(), done).otherwise(text))
+    done = F.aggregate(cuts, start, cut, lambda d: F.concat(d["out"], F.substring(text, (d["at"] + 1).cast("int"), F.char_length(text))))
+    some = F.size(cuts) > 0
+    joined = joined.withColumn("text", F.when(some, done).otherwise(text))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        joined = joined.withColumn("n_chars", F.when(F.col("_cuts").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast(kind))
-    return clean.unionByName(joined.select(docs.columns))
+        joined = joined.withColumn("n_chars", F.when(some, F.char_length("text")).otherwise(F.col("n_chars")).cast(kind))
+    return clean.select(docs.columns).unionByName(joined.select(docs.columns))

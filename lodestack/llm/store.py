@@ -63,3 +63,11 @@ class Steps:
 def sent(ids: DataFrame, most: int = 2_000_000) -> DataFrame:
     """A table of ids, to be broadcast while it has at most `most` rows, so that texts stay where they are read."""
     return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """`name`, or where `df` has such a column (names are compared as Spark does, in any case), a longer one."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

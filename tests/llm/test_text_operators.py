@@ -160,8 +160,7 @@ def test_near_duplicates_on_edges_and_groups(spark):
 
 def test_near_duplicates_in_a_group_larger_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(neardup, "LEAF", 16)
-    monkeypatch.setattr(neardup, "GRID", 2)
-    monkeypatch.setattr(neardup, "PAIRS", 1)
+    monkeypatch.setattr(neardup, "SIDE", 16)
     rng = random.Random(4)
     base = [f"a{rng.randrange(10**6)}" for _ in range(80)]
     docs = [(i, near_copy(rng, base, 0.035)) for i in range(150)] + [(200 + i, "common line here for all of them " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(6))) for i in range(60)]
