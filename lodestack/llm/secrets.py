@@ -103,7 +103,8 @@ def spans_of(found: DataFrame, steps: Steps, copied: int = COPIED_OWNERS) -> Dat
     rows = steps.write(candidates(found))
     counts = ownership(rows)
     hits = rows.where("value is not null").withColumn("digest", F.sha2("value", 256)).join(counts, "digest")
-    varied = F.size(F.array_distinct(F.split("value", ""))) >= LEAST_DISTINCT
+    body = F.regexp_replace("value", "-----[A-Z ]*-----", "")
+    varied = F.size(F.array_distinct(F.split(body, ""))) >= LEAST_DISTINCT
     # Coded key bodies hold any letters, so words in them tell nothing.
     pem = F.col("kind") == [k[0] for k in KINDS].index("pem")
     live = (F.col("n_owners") < copied) & varied & (pem | ~F.col("value").rlike(PLACEHOLDER))
