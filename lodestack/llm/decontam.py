@@ -4,16 +4,17 @@ Words are hashed in runs of `K_GRAM`; of every `WINDOW` consecutive run hashes t
 fingerprint.  Two texts that share `K_GRAM + WINDOW - 1 = 10` consecutive words share a fingerprint
 at the same place, whatever stands around it, so every shared span of ten words is found.
 
-The fingerprints of the benchmark are folded into a bitmap of a fixed 2^22 bits (its size does not
-depend on the benchmark), which thins the fingerprints of the documents; each one that is left is
-extended to the windows of ten words around it, and these are joined with the benchmark's windows on
-their words.  A false positive of the bitmap costs a row and never a wrong result.  The windows of the
-benchmark are broadcast while they number at most `BROADCAST_ROWS`; beyond that the join shuffles and
-adaptive execution splits what is skewed.
+The fingerprints of documents are joined with those of the benchmark on their 64-bit hash.  Before the join a bitmap of
+2^22 bits of the benchmark's fingerprints, of a fixed size whatever the benchmark's, thins those of the documents; where a large
+benchmark fills it, more rows reach the join and the results stay the same.  What meets is extended: the texts with a
+met fingerprint, once each however often they are copied, give the windows of ten words around it, and these are joined
+with the benchmark's windows on their words, so that no hash decides a result.  Both joins broadcast the benchmark's side while it has
+at most `BROADCAST_ROWS` rows; beyond that they shuffle, and adaptive execution splits what is skewed.
 
 An item of fewer than ten words is one window.  For each such length that the benchmark has (nine at
-most), all runs of that many words are tested against the same bitmap, since winnowing promises
-nothing for shorter spans.
+most), every run of that many words is a fingerprint, since winnowing promises nothing for shorter spans.
+
+A verdict is of a text alone, so rows meet theirs by the digest of the text, whatever their doc_id is.
 
 Defined results: a null or empty text, and one without words, has n_words 0 and no hits; an item
 without words hits nothing; null item_ids are left out; repeated items count once by item_id; each row
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import Steps, bound_batches, sent
+from .store import Steps, bound_batches, sent, spare
 
 SPAN = 10
 K_GRAM = 5
@@ -60,8 +61,12 @@ def _bucket(value: np.ndarray) -> np.ndarray:
     return (value & K.U64(BITS - 1)).astype(np.int64)
 
 
+def _signed(value: np.ndarray) -> list[int]:
+    return value.view(np.int64).tolist()
+
+
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, size, words, bucket) of every distinct window; bucket is that of each fingerprint in it."""
+    """(item_id, size, words, prints) of every window; the prints of an item are with its first one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.release()
@@ -76,96 +81,113 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
                         a = int(found.first[d])
                         texts = [found.text(i) for i in range(a, a + n)]
                         if n >= SPAN:
-                            inside = [int(x) for x in _bucket(value[(at >= a) & (at < a + n)])]
+                            inside = _signed(value[(at >= a) & (at < a + n)])
                             rows += [(ids[d], SPAN, " ".join(texts[i : i + SPAN]), inside if not i else []) for i in range(n - SPAN + 1)]
                         elif n:
                             _, whole = K.grams(hashes[a : a + n], np.array([0, n]), n)
-                            rows.append((ids[d], n, " ".join(texts), [int(x) for x in _bucket(whole)]))
+                            rows.append((ids[d], n, " ".join(texts), _signed(whole)))
                     if rows:
-                        item, size, text, bucket = zip(*rows, strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(size, pa.int32()), pa.array(text), pa.array(bucket, pa.list_(pa.int64()))], ["item_id", "size", "words", "buckets"])
+                        item, size, text, prints = zip(*rows, strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(size, pa.int32()), pa.array(text), pa.array(prints, pa.list_(pa.int64()))], ["item_id", "size", "words", "prints"])
 
     source = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
-    return source.mapInArrow(run, "item_id long, size int, words string, buckets array<long>")
+    return source.mapInArrow(run, "item_id long, size int, words string, prints array<long>")
 
 
-def candidates(docs: DataFrame, bitmaps: dict[int, bytes], key: Column | None = None) -> DataFrame:
-    """(row_id, doc_id, n_words, start, size, words): one row of each document, with its windows to confirm; doc_id is `key`, where given, in binary."""
+def bitmaps(prints: DataFrame) -> dict[int, bytes]:
+    """Per window length, a bitmap of its fingerprints (size, print): BITS bits each, gathered in pieces of 2^15."""
+    place = F.col("print").bitwiseAND(F.lit(BITS - 1)) + 1
+    pieces = prints.groupBy("size", F.bitmap_bucket_number(place).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out: dict[int, bytearray] = {}
+    for row in pieces.collect():
+        whole = out.setdefault(row["size"], bytearray(BITS // 8))
+        at = (row["piece"] - 1) * (1 << 12)
+        whole[at : at + len(row["bits"])] = row["bits"]
+    return {size: bytes(bits) for size, bits in out.items()}
+
+
+def document_prints(docs: DataFrame, maps: dict[int, bytes]) -> DataFrame:
+    """(doc_id, digest, n_words, size, start, print): a bare row of each document, and its fingerprints that the bitmaps let pass."""
     spark = docs.sparkSession
-    identity, kind = (F.col("doc_id").cast("long"), "long") if key is None else (key, "binary")
     bound_batches(spark)
-    shared = spark.sparkContext.broadcast(bitmaps)
+    shared = spark.sparkContext.broadcast(maps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.release()
-        maps = {size: np.frombuffer(bits, np.uint8) for size, bits in shared.value.items()}
-        known = lambda size, value: (maps[size][_bucket(value) >> 3] >> (_bucket(value) & 7).astype(np.uint8)) & 1 > 0
+        held = {size: np.frombuffer(bits, np.uint8) for size, bits in shared.value.items()}
         with np.errstate(over="ignore"):
             for batch in batches:
                 for part in K.slices(batch, "text"):
                     found = K.words(part.column("text"), K.ALNUM, fold=True)
                     hashes, first, row_of = found.hashes(), found.first, found.row()
-                    starts, sizes = [], []
-                    for size in maps:
-                        if size == SPAN:
-                            at, value = fingerprints(hashes, first)
-                            at = at[known(size, value)]
-                            near = (at[:, None] - np.arange(WINDOW)).ravel()
-                            row = np.repeat(row_of[at], WINDOW)
-                            near = np.unique(near[(near >= first[row]) & (near + SPAN <= first[row + 1])])
-                        else:
-                            at, value = K.grams(hashes, first, size)
-                            near = at[known(size, value)]
-                        starts.append(near)
-                        sizes.append(np.full(len(near), size))
-                    start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-                    size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-                    texts = [" ".join(found.text(i) for i in range(a, a + n)) for a, n in zip(start.tolist(), size.tolist(), strict=True)]
-                    bare = np.arange(part.num_rows)
-                    row = np.concatenate((bare, row_of[start]))
-                    none = [None] * part.num_rows
+                    starts, values, sizes = [np.zeros(0, np.int64)], [np.zeros(0, K.U64)], [np.zeros(0, np.int64)]
+                    for size, bits in held.items():
+                        at, value = fingerprints(hashes, first) if size == SPAN else K.grams(hashes, first, size)
+                        bucket = _bucket(value)
+                        may = (bits[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1 > 0
+                        starts.append(at[may])
+                        values.append(value[may])
+                        sizes.append(np.full(int(may.sum()), size))
+                    start, none = np.concatenate(starts), [None] * part.num_rows
+                    of = row_of[start]
+                    row = pa.array(np.concatenate((np.arange(part.num_rows), of)))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            part.column("row_id").take(pa.array(row)),
-                            part.column("doc_id").take(pa.array(row)),
-                            pa.array(found.count[row].astype(np.int64)),
-                            pa.array(none + (start - first[row_of[start]]).tolist(), pa.int64()),
-                            pa.array(none + size.tolist(), pa.int32()),
-                            pa.array(none + texts, pa.string()),
+                            part.column("doc_id").take(row),
+                            part.column("digest").take(row),
+                            pa.array(found.count.astype(np.int64)).take(row),
+                            pa.array(none + np.concatenate(sizes).tolist(), pa.int32()),
+                            pa.array(none + (start - first[of]).tolist(), pa.int64()),
+                            pa.array(none + _signed(np.concatenate(values)), pa.int64()),
                         ],
-                        ["row_id", "doc_id", "n_words", "start", "size", "words"],
+                        ["doc_id", "digest", "n_words", "size", "start", "print"],
                     )
 
-    source = docs.select(F.monotonically_increasing_id().alias("row_id"), identity.alias("doc_id"), "text")
-    return source.mapInArrow(run, f"row_id long, doc_id {kind}, n_words long, start long, size int, words string")
+    source = docs.select(F.col("doc_id").cast("long"), _digest(), "text")
+    return source.mapInArrow(run, "doc_id long, digest binary, n_words long, size int, start long, print long")
+
 
+def _digest() -> Column:
+    return F.unhex(F.sha2("text", 256)).alias("digest")
 
-def bitmaps(windows: DataFrame) -> dict[int, bytes]:
-    """Per window length, the buckets of its fingerprints: SPAN bitmaps of BITS bits at most."""
-    buckets = windows.select("size", F.explode("buckets").alias("bucket")).distinct().toPandas()
-    out = {}
-    for size, rows in buckets.groupby("size"):
-        bits = np.zeros(BITS, np.uint8)
-        bits[rows["bucket"].to_numpy(np.int64)] = 1
-        out[int(size)] = np.packbits(bits, bitorder="little").tobytes()
-    return out
 
+def extended(texts: DataFrame) -> DataFrame:
+    """(digest, size, start, words): the windows around each hit of (digest, text, hits), where hits are (size, start)."""
 
-def contamination(docs: DataFrame, benchmark: DataFrame, key: Column | None = None) -> DataFrame:
-    """Per row of `docs`: doc_id (or the binary `key`), n_words, n_hit, items (sorted item_ids as strings)."""
-    windows = benchmark_windows(benchmark)
-    maps = bitmaps(windows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
+        for batch in batches:
+            for part in K.slices(batch, "text"):
+                found = K.words(part.column("text"), K.ALNUM, fold=True)
+                for d, hits in enumerate(part.column("hits").to_pylist()):
+                    a, n = int(found.first[d]), int(found.count[d])
+                    near = {(h["size"], h["start"]) for h in hits if h["size"] < SPAN}
+                    for h in hits:
+                        if h["size"] == SPAN:
+                            near.update((SPAN, s) for s in range(max(h["start"] - WINDOW + 1, 0), min(h["start"], n - SPAN) + 1))
+                    size, start = zip(*sorted(near), strict=True) if near else ((), ())
+                    texts = [" ".join(found.text(i) for i in range(a + s, a + s + k)) for k, s in zip(size, start, strict=True)]
+                    key = part.column("digest")[d]
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(size), pa.binary()), pa.array(size, pa.int32()), pa.array(start, pa.int64()), pa.array(texts, pa.string())], ["digest", "size", "start", "words"])
+
+    return texts.select("digest", "text", "hits").mapInArrow(run, "digest binary, size int, start long, words string")
+
+
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
+def verdicts(docs: DataFrame, benchmark: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, n_words) of each row of `docs`, and (digest, n_hit, items) of each distinct text that is hit."""
+    windows = steps.write(benchmark_windows(benchmark))
+    prints = windows.select("size", F.explode("prints").alias("print")).distinct()
+    rows = steps.write(document_prints(docs, bitmaps(prints)))
+    met = rows.where("size is not null").select("digest", "size", "start", "print").join(_small(prints), ["size", "print"], "left_semi")
+    hits = steps.write(met.groupBy("digest").agg(F.collect_set(F.struct("size", "start")).alias("hits")))
+    texts = docs.select(_digest(), "text").join(sent(hits.select("digest"), 500_000), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
     listed = windows.groupBy("size", "words").agg(F.collect_set("item_id").alias("items"))
-    if windows.count() <= BROADCAST_ROWS:
-        listed = F.broadcast(listed)
-    met = candidates(docs, maps, key).join(listed, ["size", "words"], "left")
-    span = F.when(F.col("items").isNotNull(), F.struct("start", "size"))
-    rows = met.groupBy("row_id").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("n_words").alias("n_words"),
-        F.sort_array(F.collect_set(span)).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
-    )
+    found = extended(texts.join(hits, "digest")).join(_small(listed), ["size", "words"])
+    found = found.groupBy("digest").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     # Words under the union of the spans, which come by start.
     covered = F.aggregate(
         "spans",
@@ -176,15 +198,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: Column | None = No
         ),
         lambda a: a["n"],
     )
-    return rows.select("doc_id", "n_words", covered.alias("n_hit"), F.sort_array(F.transform("items", lambda x: x.cast("string"))).alias("items"))
+    hit = steps.write(found.select("digest", covered.alias("n_hit"), F.sort_array(F.transform("items", lambda x: x.cast("string"))).alias("items")))
+    return rows.where("size is null").select("doc_id", "digest", "n_words"), hit
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Per row of `docs`: doc_id, n_words, n_hit, items (sorted item_ids as strings)."""
+    rows, hit = verdicts(docs, benchmark, Steps(docs.sparkSession, "contaminated"))
+    found = rows.join(sent(hit, 500_000), "digest", "left")
+    return found.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` that share no window with the benchmark, with all their columns.
-
-    A verdict is of a text alone, so rows meet theirs by the digest of the text, whatever their doc_id is.
-    """
-    digest = F.unhex(F.sha2("text", 256))
-    found = contamination(docs, benchmark, digest).where("n_hit > 0").select(F.col("doc_id").alias("_hit")).distinct()
-    hit = sent(Steps(docs.sparkSession, "contaminated").write(found), 500_000)
-    return docs.join(hit, F.unhex(F.sha2(docs["text"], 256)) == F.col("_hit"), "left_anti")
+    """The rows of `docs` that share no window with the benchmark, with all their columns."""
+    _, hit = verdicts(docs, benchmark, Steps(docs.sparkSession, "contaminated"))
+    own = spare(docs, "_hit")
+    gone = sent(hit.select(F.col("digest").alias(own)), 500_000)
+    return docs.join(gone, F.unhex(F.sha2("text", 256)) == F.col(own), "left_anti")
