@@ -5,10 +5,13 @@ path prefix) with a verdict.  Entries become validity intervals: one holds from
 entry of the same list and key.  A capture is looked up under its host, each parent domain and each path
 prefix, and the as-of join keeps the intervals that hold at its fetch time.
 
-Intervals are cut at `PERIOD_DAYS` borders and joined on (key, period), so a key with a long history meets
-a capture only with the entries of that period, and two of one list and key never hold at once.  The
-intervals are broadcast while there are at most `BROADCAST_ROWS`; beyond that the join is shuffled and
-adaptive execution splits a hot key.  An allowing entry outranks blocking ones.
+Intervals are clipped to the captures' own range of time, cut at the borders of periods and joined on (key, period), so a
+key with a long history meets a capture only with the entries of that period, and two of one list and key never
+hold at once.  A period lasts half as long as the average clipped interval, which keeps the list side below four rows an entry,
+whatever the range.  The intervals are broadcast while there are at most `BROADCAST_ROWS`; beyond that the join is
+shuffled and adaptive execution splits a hot key.  An allowing entry outranks blocking ones.
+
+A verdict is of (url, fetch time) alone, and captures meet theirs by these values: only matches and verdicts are grouped.
 
 Defined results: a null, empty or hostless url matches nothing and is kept; a null fetch time matches
 nothing; entries without key or date are left out; of entries of one list, key and date the removing one
@@ -22,10 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PERIOD_DAYS = 90
+from .store import Steps, spare
+
 BROADCAST_ROWS = 500_000
-#: The end of an entry that none follows; bounds the number of periods of an interval.
-FOREVER = "2100-01-01 00:00:00"
+#: Seconds of the shortest period.
+SHORTEST = 3600
 
 
 def host_of(url: Column) -> Column:
@@ -48,34 +52,43 @@ def keys_of(url: Column) -> Column:
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """(list, key, verdict, valid_from, valid_to) of entries (list, key, action, verdict, dated)."""
+    """(list, key, verdict, valid_from, valid_to) of entries (list, key, action, verdict, dated); valid_to is null while none follows."""
     clean = entries.where("key is not null and dated is not null and action in ('add', 'remove')")
     # One entry for each list, key and date, whatever was repeated.
     single = clean.groupBy("list", "key", "dated").agg(F.max(F.struct(F.col("action") == "remove", "verdict")).alias("last"))
     log = Window.partitionBy("list", "key").orderBy("dated")
-    ends = single.withColumn("valid_to", F.coalesce(F.lead("dated").over(log), F.to_timestamp(F.lit(FOREVER))))
+    ends = single.withColumn("valid_to", F.lead("dated").over(log))
     return ends.where(~F.col("last.col1")).select("list", "key", F.col("last.verdict").alias("verdict"), F.col("dated").alias("valid_from"), "valid_to")
 
 
-def _period(instant: Column) -> Column:
-    return F.floor(F.unix_timestamp(instant) / (86_400 * PERIOD_DAYS)).cast("long")
+def by_period(spans: DataFrame, first: int, last: int) -> tuple[DataFrame, int]:
+    """The intervals that meet the seconds from `first` to `last`, a row for each period that one meets, and the seconds of a period."""
+    low = F.greatest(F.unix_seconds("valid_from"), F.lit(first))
+    high = F.least(F.coalesce(F.unix_seconds("valid_to"), F.lit(last)), F.lit(last))
+    clipped = spans.withColumns({"_low": low, "_high": high}).where("_low <= _high")
+    mean = clipped.agg(F.avg(F.col("_high") - F.col("_low"))).first()[0] or 0
+    period = max(int(mean / 2) + 1, SHORTEST)
+    numbers = F.sequence(F.floor(F.col("_low") / period), F.floor(F.col("_high") / period))
+    return clipped.select("list", "key", "verdict", "valid_from", "valid_to", F.explode(numbers).alias("period")), period
 
 
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_at") -> DataFrame:
     """`captures` with host, blocked, and matched (sorted `list:verdict:key` of the entries that hold)."""
-    spans = intervals(entries)
-    spans = spans.withColumn("period", F.explode(F.sequence(_period(F.col("valid_from")), _period(F.col("valid_to")))))
+    steps = Steps(captures.sparkSession, "urls")
+    carried = [c for c in captures.columns if c not in ("host", "blocked", "matched")]
+    asked = captures.select(F.col(url).alias("url"), F.col(fetched).cast("timestamp").alias("at"))
+    ends = asked.agg(F.unix_seconds(F.min("at")), F.unix_seconds(F.max("at"))).first()
+    keyed = asked.where("at is not null").select("url", "at", F.explode(keys_of(F.col("url"))).alias("key"))
+    spans, period = by_period(steps.write(intervals(entries)), ends[0] or 0, ends[1] or 0)
     if spans.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         spans = F.broadcast(spans)
-    carried = [c for c in captures.columns if c not in ("host", "blocked", "matched")]
-    rows = captures.select(*carried, F.monotonically_increasing_id().alias("_row"))
-    keyed = rows.select("_row", F.col(fetched).alias("_at"), _period(F.col(fetched)).alias("period"), F.explode(keys_of(F.col(url))).alias("key"))
-    held = keyed.join(spans, ["key", "period"]).where((F.col("_at") >= F.col("valid_from")) & (F.col("_at") < F.col("valid_to")))
-    found = held.groupBy("_row").agg(
-        F.sort_array(F.collect_set(F.concat_ws(":", "list", "verdict", "key"))).alias("matched"),
-        F.max((F.col("verdict") == "allow").cast("int")).alias("_allow"),
-        F.max((F.col("verdict") == "block").cast("int")).alias("_block"),
+    held = keyed.withColumn("period", F.floor(F.unix_seconds("at") / period)).join(spans, ["key", "period"])
+    held = held.where((F.col("at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to"))))
+    own = {name: spare(captures, name) for name in ("_url", "_at", "_matched", "_blocked")}
+    found = held.groupBy(F.col("url").alias(own["_url"]), F.col("at").alias(own["_at"])).agg(
+        F.sort_array(F.collect_set(F.concat_ws(":", "list", "verdict", "key"))).alias(own["_matched"]),
+        (F.max((F.col("verdict") == "block").cast("int")) > F.max((F.col("verdict") == "allow").cast("int"))).alias(own["_blocked"]),
     )
-    out = rows.join(found, "_row", "left")
-    blocked = F.coalesce((F.col("_block") == 1) & (F.col("_allow") == 0), F.lit(False))
-    return out.select(*carried, host_of(F.col(url)).alias("host"), blocked.alias("blocked"), F.coalesce("matched", F.array().cast("array<string>")).alias("matched"))
+    same = (F.col(url) == F.col(own["_url"])) & (F.col(fetched).cast("timestamp") == F.col(own["_at"]))
+    out = captures.select(*carried).join(found, same, "left")
+    return out.select(*carried, host_of(F.col(url)).alias("host"), F.coalesce(own["_blocked"], F.lit(False)).alias("blocked"), F.coalesce(own["_matched"], F.array().cast("array<string>")).alias("matched"))
