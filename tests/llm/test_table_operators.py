@@ -28,6 +28,23 @@ def test_url_filter_intervals_and_edges(spark):
     assert at("01-01") is not None
 
 
+def test_url_filter_far_dates_shuffled_captures_and_clashes(spark):
+    at = lambda c: F.to_timestamp(F.concat(c, F.lit(" 00:00:00")))
+    log = spark.createDataFrame([("l", f"h{k}.com", "add", "block", "2024-01-01") for k in range(50)] + [("l", "h7.com", "remove", None, "2050-01-01"), ("l", "h8.com", "add", "block", "2150-01-01")], "list string, key string, action string, verdict string, d string")
+    log = log.withColumn("dated", at(F.col("d")))
+    captures = spark.createDataFrame([(i, f"http://h{i % 100}.com/{i}", ("2023-12-31", "2024-06-01", "2100-06-01")[i % 3]) for i in range(3000)], "page_id long, url string, d string")
+    captures = captures.withColumns({"fetched_at": at(F.col("d")), "_row": F.lit(1), "_url": F.lit(2), "_at": F.lit(3), "_allow": F.lit(4), "_matched": F.lit(5), "_blocked": F.lit(6)})
+    rows = urlfilter.judge(captures.repartition(7), log).collect()
+    assert len(rows) == 3000
+    for r in rows:
+        k = r["page_id"] % 100
+        want = k < 50 and r["d"] != "2023-12-31" and not (k == 7 and r["d"] == "2100-06-01")
+        assert r["blocked"] == want and (r["_row"], r["_url"], r["_at"], r["_allow"], r["_matched"], r["_blocked"]) == (1, 2, 3, 4, 5, 6)
+    first, last = (int(x) for x in captures.agg(F.min(F.unix_seconds("fetched_at")), F.max(F.unix_seconds("fetched_at"))).first())
+    spans = urlfilter.intervals(log)
+    assert urlfilter.by_period(spans, first, last)[0].count() <= 4 * spans.count()
+
+
 CALLS = "conv_id long, turn long, call_id string, name string, arguments string, uses array<string>"
 RESULTS = "conv_id long, turn long, call_id string, content string"
 TOOLS = {"f": {"a": chat.Field("integer", True, 1, 5), "b": chat.Field("string", False, 1, 3)}, "g": {"on": chat.Field("boolean")}}
@@ -189,6 +206,9 @@ def test_null_and_repeated_ids_are_cleaned_and_redacted(spark):
     rows = [(None, f"so {passage} it is", "a", 1), (None, "a clean text", "a", 2), (4, f"so {passage}", "a", 3), (4, "another clean text", "a", 4), (None, secret, "a", 5), (6, f"{secret} and more", "a", 6), (6, "api_key is not told, nor is any other", "a", 7), (6, "password=Zq8Lr5Tn2Vb7", "b", 8), (None, None, None, 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").withColumn("n_chars", F.length("text").cast("long"))
     assert {r["n"] for r in decontam.clean_documents(docs, bench).collect()} == {2, 4, 5, 6, 7, 8, 9}
-    texts = {r["n"]: (r["text"], r["n_chars"]) for r in secrets.redact(docs).collect()}
+    clashing = docs.withColumns({c: F.lit(c) for c in ("_cuts", "_row", "_found", "row_id", "kind", "spans", "_hit", "_digest")})
+    assert secrets.redact(clashing).columns == clashing.columns and decontam.clean_documents(clashing, bench).columns == clashing.columns
+    assert {r["n"] for r in decontam.clean_documents(clashing, bench).collect()} == {2, 4, 5, 6, 7, 8, 9}
+    texts = {r["n"]: (r["text"], r["n_chars"]) for r in secrets.redact(clashing).collect()}
     want = {n: t for _, t, _, n in rows} | {5: "key [secret] here", 6: "key [secret] here and more", 8: "[secret]"}
     assert texts == {n: (t, None if t is None else len(t)) for n, t in want.items()}

@@ -167,6 +167,34 @@ def test_near_duplicates_in_a_group_larger_than_a_block(spark, monkeypatch):
     check_classes(spark, docs)
 
 
+def test_rows_of_each_step_grow_with_a_group_and_not_with_its_square(spark, monkeypatch):
+    import collections
+    import inspect
+
+    from lodestack.llm.store import Steps
+
+    monkeypatch.setattr(neardup, "LEAF", 16)
+    monkeypatch.setattr(neardup, "SIDE", 32)
+    made, write = collections.Counter(), Steps.write
+
+    def counted(self, df):
+        out, caller = write(self, df), inspect.stack()[1]
+        made[caller.function, caller.lineno] += out.count()
+        return out
+
+    monkeypatch.setattr(Steps, "write", counted)
+    sizes, counts = (200, 800), []
+    for n in sizes:
+        made.clear()
+        rng = random.Random(7)
+        base = [f"a{rng.randrange(10**6)}" for _ in range(150)]
+        neardup.near_duplicates(frame(spark, [(i, near_copy(rng, base, 0.03)) for i in range(n)])).count()
+        counts.append(dict(made))
+    assert max(counts[1].values()) <= 4 * max(counts[0].values()) * 1.5
+    for step, n in counts[1].items():
+        assert n <= 1.5 * 4 * max(counts[0].get(step, 0), 16 * sizes[0]), step
+
+
 def test_near_duplicates_on_tables(spark, small):
     check_classes(spark, [(r["doc_id"], r["text"]) for r in documents(spark, small).collect()])
 
@@ -259,6 +287,19 @@ def test_redaction(spark):
     assert all(after[i]["text"] == t for i, t in EDGES)
 
 
+def test_key_blocks_are_redacted_whole_and_by_ownership(spark):
+    rng = random.Random(9)
+    body = lambda: "\n".join("".join(rng.choice("ABCDEFghijkl0123456789+/") for _ in range(64)) for _ in range(12))
+    block = lambda b, kind="RSA ": f"-----BEGIN {kind}PRIVATE KEY-----\n{b}\n-----END {kind}PRIVATE KEY-----"
+    own, copied, cut = block(body()), block(body(), ""), "-----BEGIN PRIVATE KEY-----\n" + body()
+    locked = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{body()}\n-----END RSA PRIVATE KEY-----"
+    docs = [(1, f"a {own} b - c"), (2, f"{copied} x"), (3, f"{copied} y"), (4, f"{copied} z"), (5, f"{cut}\nand so on - it ends"), (6, "write -----BEGIN PRIVATE KEY----- first"), (7, f"{locked}{own}"), (8, "-----BEGIN PRIVATE KEY-----" + "A" * 200_000), (9, "-----BEGIN PRIVATE KEY-----" + "- " * 50_000)]
+    frame_ = frame(spark, [(i, t, f"o{i}") for i, t in docs], "doc_id long, text string, source string")
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(frame_).collect()}
+    assert out[1] == "a [secret] b - c" and out[5] == "[secret]and so on - it ends" and out[7] == "[secret][secret]"
+    assert all(out[i] == dict(docs)[i] for i in (2, 3, 4, 6, 8, 9))
+
+
 def test_license_places_and_labels(spark, small):
     docs = [
         *EDGES,
