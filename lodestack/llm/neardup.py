@@ -53,7 +53,7 @@ LEAF = 256
 SIDE = 1024
 WEIGHT = 1 << 20
 #: A node whose classes beside its largest component are dealt into at most so many groups is compared exhaustively.
-GRID = 2
+GRID = 4
 #: Pairs estimated below this many of 128 equal values are not confirmed.
 NEAR = 77
 
