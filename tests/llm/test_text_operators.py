@@ -173,8 +173,7 @@ def test_rows_of_each_step_grow_with_a_group_and_not_with_its_square(spark, monk
 
     from lodestack.llm.store import Steps
 
-    monkeypatch.setattr(neardup, "LEAF", 16)
-    monkeypatch.setattr(neardup, "SIDE", 32)
+    monkeypatch.setattr(neardup, "SIDE", 512)
     made, write = collections.Counter(), Steps.write
 
     def counted(self, df):
@@ -183,16 +182,16 @@ def test_rows_of_each_step_grow_with_a_group_and_not_with_its_square(spark, monk
         return out
 
     monkeypatch.setattr(Steps, "write", counted)
-    sizes, counts = (200, 800), []
+    sizes, counts = (400, 1600), []
     for n in sizes:
         made.clear()
         rng = random.Random(7)
         base = [f"a{rng.randrange(10**6)}" for _ in range(150)]
         neardup.near_duplicates(frame(spark, [(i, near_copy(rng, base, 0.03)) for i in range(n)])).count()
         counts.append(dict(made))
-    assert max(counts[1].values()) <= 4 * max(counts[0].values()) * 1.5
-    for step, n in counts[1].items():
-        assert n <= 1.5 * 4 * max(counts[0].get(step, 0), 16 * sizes[0]), step
+    assert max(counts[1].values()) <= 1.25 * 4 * max(counts[0].values())
+    for n, rows in zip(sizes, counts, strict=True):
+        assert max(rows.values()) <= 2 * neardup.TREES * n
 
 
 def test_near_duplicates_on_tables(spark, small):
