@@ -15,8 +15,11 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MANIFEST_MOST, OUTPUT_MOST, QUERIES_MOST, SECONDS_MOST = 64 << 10, 16 << 20, 512, 300
+#: Rows of a page that a callback gives.
+ROWS_MOST = 500
 #: The query tools that a project plugin may call back.
 CALLBACKS = ("get_all_classes", "get_methods_of_class", "get_method_source", "search_code", "find_string_references", "get_call_graph")
 _FIELDS = {"id": str, "name": str, "version": str, "protocol": int, "capability": str, "tools": list}
@@ -93,14 +96,27 @@ class Host:
         self._project, self._manifest = project, manifest
         self._left, self._until = QUERIES_MOST, time.monotonic() + SECONDS_MOST
 
-    def query(self, tool: str, **arguments) -> list[dict]:
+    def page(self, tool: str, offset: int = 0, **arguments) -> tuple[list[dict], int]:
+        """(rows, total): at most ROWS_MOST rows from `offset` in the order of all columns, and how many there are."""
         if tool not in self._manifest.tools:
             raise PluginError(f"{tool} is not allowed")
         if self._left == 0 or time.monotonic() > self._until:
             raise PluginError("the plugin's queries or time are used up")
         self._left -= 1
-        page = getattr(self._project, tool)(**arguments)
-        return [r.asDict(recursive=True) for r in page.limit(500).collect()]
+        found = getattr(self._project, tool)(**arguments)
+        order = [F.to_json(F.struct(*found.columns))]
+        rows = found.orderBy(*order).offset(offset).limit(ROWS_MOST).collect()
+        return [r.asDict(recursive=True) for r in rows], found.count()
+
+    def query(self, tool: str, **arguments) -> list[dict]:
+        """All rows, page by page; each page is one of the plugin's queries, and running out of them is an error, never a cut."""
+        rows, total = self.page(tool, 0, **arguments)
+        while len(rows) < total:
+            more, total = self.page(tool, len(rows), **arguments)
+            if not more:
+                break
+            rows += more
+        return rows
 
 
 def analyze_project(project, manifest: Manifest, plugin: Callable[[Host], list[dict]], schema: str) -> DataFrame:
@@ -116,6 +132,6 @@ def webview_inventory(host: Host) -> list[dict]:
     names = ("loadUrl", "loadData", "loadDataWithBaseURL", "addJavascriptInterface", "evaluateJavascript")
     rows = []
     for name in names:
-        for hit in host.query("search_code", query=f"android.webkit.WebView.{name}(", limit=500):
+        for hit in host.query("search_code", query=f"android.webkit.WebView.{name}("):
             rows.append({"method_id": hit["method_id"], "call": name, "line": hit["line"]})
     return rows

@@ -39,11 +39,12 @@ def with_fallback(wanted: DataFrame, variants: DataFrame, key: str, config: str,
 def follow(aliases: DataFrame, levels: int = ALIAS_LEVELS) -> DataFrame:
     """(start, target, hops, status) of each (start, next) chain: `resolved` at its end, `alias_cycle`, or `too_deep`.
 
-    Pointers are doubled, so a chain of n takes log n joins.
+    Pointers are doubled, so a chain of n takes log n joins.  A chain of more than `levels` hops that ends is `too_deep`; a cycle is what has
+    not ended after as many hops as there are aliases.
     """
     hop = cut(aliases.groupBy("start").agg(F.min("next").alias("target")).withColumn("hops", F.lit(1).cast("long")), "alias")
-    done = 1
-    while done < levels * 2:
+    done, every = 1, hop.count()
+    while done <= every:
         far = hop.select(F.col("start").alias("_s"), F.col("target").alias("_t"), F.col("hops").alias("_h"))
         joined = hop.join(far, hop["target"] == far["_s"], "left")
         hop_next = cut(joined.select("start", F.coalesce("_t", "target").alias("target"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"), F.col("_t").isNotNull().alias("moved")), "alias")

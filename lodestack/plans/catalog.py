@@ -6,6 +6,7 @@ Operators take any table; here they run over the given ones, whole.  Names say w
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -482,6 +483,42 @@ def canonical_targets(spark, sf_dir):
     return found.select(F.substring("owner", 2, 20).cast("long").alias("owner"), "declaring")
 
 
+@query("""WITH b AS (SELECT *, CASE WHEN p_size % 2 = 0 AND length(p_name) % 2 = 0 THEN 'k' || p_name END AS k, p_size % 3 = 0 AND length(p_type) % 3 = 0 AS gap, CASE WHEN p_size % 3 = 0 AND length(p_type) % 2 = 0 THEN 't' || p_type END AS t, substr(p_brand, 7, 1) AS m, substr(p_brand, 8, 1) AS n FROM part)
+SELECT p_partkey, CASE WHEN p_size <= 5 THEN 'p' || p_partkey WHEN gap OR (k IS NOT NULL AND t IS NOT NULL) THEN NULL WHEN k IS NOT NULL OR t IS NOT NULL THEN coalesce(k, t) WHEN n IN ('2', '4') THEN 'b' || p_brand WHEN m IN ('1', '3') THEN 'm' || m END AS declaring,
+p_size <= 5 OR NOT (gap OR (k IS NOT NULL AND t IS NOT NULL)) AS complete FROM b""")
+def field_declarations(spark, sf_dir):
+    """Where a part's field is declared: by itself, its name or type (interfaces, some types not loaded), its brand, or the brand's maker."""
+    parts = read(spark, sf_dir, "part")
+    own, box, kind, brand, maker = (F.concat(F.lit(p), c) for p, c in zip("pktbm", (F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_type"), F.col("p_brand"), F.substring("p_brand", 7, 1)), strict=True))
+    named = lambda where, c: parts.where(where).select(c.alias("class_id")).distinct()
+    classes = named("true", own).union(named("true", box)).union(named("length(p_type) % 3 <> 0", kind)).union(named("true", brand)).union(named("true", maker))
+    fields = named("p_size <= 5", own).union(named("length(p_name) % 2 = 0", box)).union(named("length(p_type) % 2 = 0 and length(p_type) % 3 <> 0", kind)).union(named("substring(p_brand, 8, 1) in ('2', '4')", brand)).union(named("substring(p_brand, 7, 1) in ('1', '3')", maker))
+    edge = lambda where, a, b, k: parts.where(where).select(a.alias("child"), b.alias("parent"), F.lit(k).alias("kind")).distinct()
+    tree = edge("p_size % 2 = 0", own, box, "interface").union(edge("p_size % 3 = 0", own, kind, "interface")).union(edge("true", own, brand, "super")).union(edge("true", brand, maker, "super"))
+    wanted = parts.select(own.alias("owner"), F.lit("f:I").alias("member"))
+    found = G.declared_fields(wanted, fields.select(F.col("class_id").alias("owner"), F.lit("f:I").alias("member")), classes, tree)
+    return found.select(F.substring("owner", 2, 20).cast("long").alias("p_partkey"), "declaring", "complete")
+
+
+@query("""WITH b AS (SELECT c_custkey AS c, c_acctbal AS bal, n_nationkey AS n, n_regionkey AS r, c_custkey % 7 <> 0 AS lc, n_nationkey % 5 <> 0 AS ln FROM customer JOIN nation ON c_nationkey = n_nationkey),
+d AS (SELECT *, CASE WHEN lc AND bal > 5000 THEN 'c' || c WHEN lc AND ln AND n % 2 = 0 THEN 'n' || n WHEN lc AND ln AND r = 1 THEN 'r' || r END AS declaring,
+NOT ln OR r >= 3 AS outside, (NOT ln AND n % 4 = 1) OR (ln AND r = 4) AS named_outside, c % 3 = 0 OR (ln AND n % 4 = 1) OR (ln AND r = 0) AS named_inside FROM b)
+SELECT c AS c_custkey, declaring, CASE WHEN declaring = 'c' || c THEN 'declared' WHEN declaring IS NOT NULL THEN 'inherited_declaration' WHEN NOT lc THEN CASE WHEN c % 3 = 0 THEN 'external_reference' ELSE 'unresolved_external' END
+WHEN named_outside THEN 'inherited_external_reference' WHEN outside AND named_inside THEN 'unresolved_inherited_reference' ELSE 'missing_declaration' END AS status FROM d""")
+def root_resolution(spark, sf_dir):
+    """What each customer's method is, where some customers, nations and regions are not loaded and code names some of them."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    customers, nations, regions = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    c, n, r = name("c", "c_custkey"), name("n", "n_nationkey"), name("r", "r_regionkey")
+    some = lambda *rows: reduce(DataFrame.union, [df.where(w).select(e.alias("owner")) for df, w, e in rows]).withColumn("member", F.lit("run()V"))
+    classes = some((customers, "c_custkey % 7 <> 0", c), (nations, "n_nationkey % 5 <> 0", n), (regions, "r_regionkey < 3", r)).select(F.col("owner").alias("class_id"))
+    declared = some((customers, "c_custkey % 7 <> 0 and c_acctbal > 5000", c), (nations, "n_nationkey % 5 <> 0 and n_nationkey % 2 = 0", n), (regions, "r_regionkey = 1", r))
+    named = some((customers, "c_custkey % 3 = 0", c), (nations, "n_nationkey % 4 = 1", n), (regions, "r_regionkey in (0, 4)", r))
+    parents = customers.where("c_custkey % 7 <> 0").select(c.alias("child"), name("n", "c_nationkey").alias("parent")).union(nations.where("n_nationkey % 5 <> 0").select(n, name("r", "n_regionkey")))
+    found = G.root_resolution(some((customers, "true", c)), declared, parents, classes, named)
+    return found.select(F.substring("owner", 2, 20).cast("long").alias("c_custkey"), "declaring", "status")
+
+
 # Resources and markup.
 
 

@@ -167,7 +167,17 @@ class Project:
 
     def find_field_references(self, field_id: str, access: str = "all") -> tuple[DataFrame, DataFrame]:
         uses = self.table("dex_instruction").where("pool = 'field'").select("class_id", "method_id", "pc", F.col("operand").alias("field_id"), R.access_kind(F.col("opcode")).alias("access"))
-        return R.field_references(uses, F.col("field_id") == N.normal_selector(field_id), access)
+        # Operands are compared by the declaration that they mean; only those of the same member can mean the same.
+        parts = lambda c: (F.regexp_extract(c, r"^(.*)\.[^.:]*:", 1), F.regexp_extract(c, r"([^.:]*:.*)$", 1))
+        split = lambda rows: rows.withColumns(dict(zip(("owner", "member"), parts(F.col("field_id")), strict=True)))
+        asked = split(self.spark.range(1).select(F.lit(N.normal_selector(field_id)).alias("field_id")))
+        near = split(uses).join(F.broadcast(asked.select("member")), "member", "left_semi")
+        fields = split(self.table("dex_field").select("field_id"))
+        found = G.declared_fields(near.select("owner", "member").union(asked.select("owner", "member")), fields, self.table("dex_class"), self.table("hierarchy_edge"))
+        found = cut(found.select("owner", "member", F.coalesce("declaring", "owner").alias("means")), "fields")
+        goal = found.join(F.broadcast(asked), ["owner", "member"]).select(F.col("means").alias("goal"))
+        rows = near.join(found, ["owner", "member"]).join(F.broadcast(goal), F.col("means") == F.col("goal"))
+        return R.field_references(rows.select("class_id", "method_id", "pc", "field_id", "access"), F.lit(True), access)
 
     def find_instantiations(self, class_id: str | None = None, allocating_class: str | None = None, allocating_method_id: str | None = None) -> DataFrame:
         made = self.table("dex_instruction").where("opcode in (34, 35, 36, 37)").select("class_id", "method_id", "pc", N.type_name(F.col("operand")).alias("type"))
@@ -276,11 +286,27 @@ class Project:
         if not 1 <= len(roots) <= 16:
             raise P.ContractError("TOO_MANY_ROOTS", str(len(roots)))
         edges = self.call_edges.unionByName(self.dispatch_edges()) if dispatch else self.call_edges
-        start = self.spark.range(1).select(F.explode(F.array(*[F.lit(r) for r in roots])).alias("root"))
-        return G.walk(edges, start, direction, depth)
+        start = cut(self.resolve_roots(roots).select(F.col("method_id").alias("root"), F.col("resolved_method_id").alias("_start")), "roots")
+        walked = G.walk(edges, start.select("_start"), direction, depth).withColumnRenamed("root", "_start")
+        return walked.join(F.broadcast(start), "_start").select("root", "node", "depth")
 
     get_call_graph_batch = get_call_graph
 
+    def resolve_roots(self, method_ids: list[str]) -> DataFrame:
+        """(method_id, resolved_method_id, status) of each root: traversal starts from the declaration that it means.
+
+        A root that nothing declares keeps its own name, and its status tells why; the others are not touched by it.
+        """
+        asked = self.spark.range(1).select(F.explode(F.array(*[F.lit(N.normal_selector(m)) for m in method_ids])).alias("method_id")).distinct()
+        owner = F.expr("regexp_extract(method_id, '^(.*)[.][^.(]*[(]', 1)")
+        roots = asked.select(owner.alias("owner"), F.regexp_extract("method_id", r"([^.(]*\(.*)$", 1).alias("member"))
+        declared = self.table("dex_method").select(F.col("class_id").alias("owner"), F.col("signature").alias("member"))
+        supers = self.table("hierarchy_edge").where("kind = 'super'").select("child", "parent")
+        named = self.calls.select(F.expr("regexp_extract(callee, '^(.*)[.][^.(]*[(]', 1)").alias("owner"), F.regexp_extract("callee", r"([^.(]*\(.*)$", 1).alias("member"))
+        found = G.root_resolution(roots, declared, supers, self.table("dex_class"), named)
+        name = lambda c: F.concat(F.col(c), F.lit("."), "member")
+        return found.select(name("owner").alias("method_id"), F.coalesce(name("declaring"), name("owner")).alias("resolved_method_id"), "status")
+
     def semantic_edges(self) -> DataFrame:
         """(source, target, kind): what a call site may mean beyond the method it names.
 

@@ -21,4 +21,11 @@ def cut(df: DataFrame, name: str = "step", by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = True
+    return out
+
+
+def is_written(df: DataFrame) -> bool:
+    """Whether `df` is a written table as `cut` gave it, which costs a scan and nothing else."""
+    return getattr(df, "_written", False)

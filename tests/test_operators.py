@@ -184,6 +184,66 @@ def test_alias_chains(spark):
     assert got == {1: (9, 3, "resolved"), 2: (9, 2, "resolved"), 3: (9, 1, "resolved"), 4: cycle, 5: cycle, 6: cycle, 7: cycle}
 
 
+def test_long_alias_chains_are_no_cycles(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500)], "start long, next long")
+    got = {r["start"]: r for r in X.follow(chain).collect()}
+    assert {i: (r["target"], r["hops"]) for i, r in got.items() if i < 500} == {i: (200, 200 - i) for i in range(200)}
+    assert {i for i, r in got.items() if r["status"] == "alias_cycle"} == {500, 501}
+    assert {i for i, r in got.items() if r["status"] == "too_deep"} == {i for i in range(200) if 200 - i > X.ALIAS_LEVELS}
+
+
+def test_traversals_end_whole_or_with_an_error(spark):
+    path = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(12)], "source string, target string")
+    seed = spark.createDataFrame([("n00", 1)], "node string, mask int")
+    assert G.propagate(path, seed).count() == 13
+    with pytest.raises(ValueError):
+        G.propagate(path, seed, rounds=5)
+    tree = path.select(F.col("source").alias("child"), F.col("target").alias("parent"))
+    assert G.descendants(tree, spark.createDataFrame([("n12",)], "root string")).count() == 12
+    with pytest.raises(ValueError):
+        G.descendants(tree, spark.createDataFrame([("n12",)], "root string"), levels=5)
+    member = spark.createDataFrame([("n00", "f()V")], "owner string, member string")
+    declared = spark.createDataFrame([("n12", "f()V")], "owner string, member string")
+    assert G.canonical(member, declared, tree).first()["declaring"] == "n12"
+    with pytest.raises(ValueError):
+        G.canonical(member, declared, tree, levels=5)
+    facts = spark.createDataFrame([("n00", False), ("n03", None), ("n06", True)], "node string, exposed boolean")
+    got = {r["node"]: r["exposed"] for r in G.exposure(tree, facts).collect()}
+    assert [got[f"n{i:02}"] for i in (0, 2, 3, 5, 6, 12)] == [False, False, None, None, True, True]
+
+
+def test_field_declarations(spark):
+    classes = [(c,) for c in ("A", "B", "I", "J", "K", "P", "X", "Y", "Q", "C1", "C2", "Z")]
+    tree = [("A", "I", "interface"), ("A", "P", "super"), ("B", "I", "interface"), ("B", "J", "interface"), ("K", "I", "interface"), ("P", "gone", "super"), ("X", "K", "interface"), ("X", "I", "interface"), ("Y", "P", "super"), ("Q", "lost", "interface"), ("Q", "I", "interface"), ("C1", "C2", "super"), ("C2", "C1", "super"), ("Z", "A", "super")]
+    fields = [("I", "f"), ("J", "f"), ("P", "g"), ("A", "own"), ("P", "own")]
+    wanted = [(c, m) for (c,) in classes for m in ("f", "g", "own")] + [("gone", "f"), ("A", "f"), ("A", "none")]
+    schema = "owner string, member string"
+    rows = G.declared_fields(spark.createDataFrame(wanted, schema), spark.createDataFrame(fields, schema), spark.createDataFrame(classes, "class_id string"), spark.createDataFrame(tree, "child string, parent string, kind string"))
+    got = {(r["owner"], r["member"]): (r["declaring"], r["complete"]) for r in rows.collect()}
+    above = {}
+    for child, parent, kind in tree:
+        above.setdefault(child, {}).setdefault(kind, []).append(parent)
+
+    def plain(owner, member, path=()):
+        """(declaring, complete) by recursion."""
+        if (owner,) not in classes or owner in path:
+            return None, False
+        if (owner, member) in fields:
+            return owner, True
+        of = [plain(i, member, (*path, owner)) for i in above.get(owner, {}).get("interface", [])]
+        names = {d for d, _ in of if d}
+        if not all(c for _, c in of) or len(names) > 1:
+            return None, False
+        if names:
+            return names.pop(), True
+        for parent in above.get(owner, {}).get("super", []):
+            return plain(parent, member, (*path, owner))
+        return None, True
+
+    assert got == {k: plain(*k) for k in wanted}
+    assert got["B", "f"] == (None, False) and got["Z", "g"] == ("P", True) and got["A", "none"] == (None, False) and got["I", "g"] == (None, True)
+
+
 def test_splits_and_fallback(spark):
     columns = "id long, package string, kind string, name string, configuration string, value string"
     base = spark.createDataFrame([(1, "p", "string", "a", "", "x")], columns)

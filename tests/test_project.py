@@ -184,13 +184,22 @@ def test_stream_equals_batch(spark, small, tmp_path):
         assert spark.read.parquet(str(tmp_path / "out")).count() == total
 
 
-def test_plugins(project):
+def test_plugins(project, monkeypatch):
     text = '{"id": "a.b", "name": "n", "version": "1", "protocol": 2, "capability": "project.analyze", "tools": ["search_code"]}'
     manifest = U.Manifest.load(text)
     found = U.analyze_project(project, manifest, lambda host: [{"n": len(host.query("search_code", query="config_key"))}], "n long")
     assert values(found, "n") == [1]
     with pytest.raises(U.PluginError):
         U.Host(project, manifest).query("get_call_graph", method_id=RUN)
+    # A callback gives every row, page by page, or an error: never a part.
+    monkeypatch.setattr(U, "ROWS_MOST", 3)
+    many = project.search_code("const").count()
+    assert many > 6 and len(U.Host(project, manifest).query("search_code", query="const")) == many
+    rows, total = U.Host(project, manifest).page("search_code", 3, query="const")
+    assert len(rows) == 3 and total == many
+    monkeypatch.setattr(U, "QUERIES_MOST", 2)
+    with pytest.raises(U.PluginError):
+        U.Host(project, manifest).query("search_code", query="const")
     for bad in ("[]", "{", text.replace('"tools"', '"tool"'), text.replace("search_code", "open_apk"), text.replace("2", "1"), text.replace('"a.b"', '"A B"')):
         with pytest.raises(U.PluginError):
             U.Manifest.load(bad)
