@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule is a pair (statistic, test).  Cost (seconds a byte) and selectivity (share rejected) of
-every rule are estimated on a bounded sample; the rules then run in descending order of rejections
-per unit of cost, and a document that one rule rejects is not shown to the next.  The order changes
-the time only: a verdict is the conjunction of all rules, whatever their order.
+Each rule is a test on statistics of a text.  The cost of every statistic (its own seconds, without those of statistics that
+it builds on) and the selectivity of every rule (share rejected) are estimated on about `SAMPLE_ROWS` rows, chosen by a
+hash of their text and measured where they lie: only sums reach the driver.  The next rule is always the one with the most rejections for
+the cost that it adds, since a statistic that an earlier rule computed costs nothing more.  Rejected documents are taken
+out of what the next rules see as soon as they hold half of its bytes, so that all cutting anew costs as much as the first
+pass at most.  The order changes the time only: a verdict is the conjunction of all rules, whatever their order.
 
 Defined results: null and empty texts have no words and all counts 0, and fail the base rule; the
 length of a text is not limited; repeated rows give repeated rows; an empty table gives an empty
@@ -29,7 +31,7 @@ _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _LINE = np.arange(256) != 0x0A
 _DIGIT = (np.arange(256) >= 0x30) & (np.arange(256) <= 0x39)
 
-#: Rows of the sample on which cost and selectivity are estimated.
+#: Expected rows of the sample on which cost and selectivity are estimated.
 SAMPLE_ROWS = 2000
 
 
@@ -38,12 +40,19 @@ class Profile:
 
     def __init__(self, column: pa.Array):
         self._column, self._kept = column, {}
+        #: Own seconds of each statistic, and what the statistics inside the running one took.
+        self._seconds, self._inner = {}, [0.0]
 
     def __getattr__(self, name: str):
         if name.startswith("_"):
             raise AttributeError(name)
         if name not in self._kept:
+            self._inner.append(0.0)
+            began = time.perf_counter()
             self._kept[name] = getattr(self, f"_{name}")()
+            took = time.perf_counter() - began
+            self._seconds[name] = took - self._inner.pop()
+            self._inner[-1] += took
         return self._kept[name]
 
     def _words(self) -> K.Words:
@@ -132,40 +141,81 @@ VERDICT = (
 )
 
 
-def plan(sample: pa.Array, rules: tuple[Rule, ...]) -> list[str]:
-    """Rule names, the most rejections per second first; ties by name."""
-    rows = max(len(sample), 1)
-    scored = []
+@dataclass(frozen=True)
+class Cost:
+    """What a sample tells of a rule: rows seen and rejected, and the seconds of each statistic that it uses."""
+
+    rows: int
+    rejected: int
+    seconds: dict[str, float]
+
+
+def measure(column: pa.Array, rules: tuple[Rule, ...]) -> list[tuple[str, str, float, int, int]]:
+    """(rule, statistic, seconds, rejected, rows) of each rule on its own and each statistic that it uses; `test` is the rule's own."""
+    out = []
     for rule in rules:
+        profile = Profile(column)
         began = time.perf_counter()
-        rejected = int(np.count_nonzero(rule.rejects(Profile(sample)))) if len(sample) else 0
-        cost = max(time.perf_counter() - began, 1e-6)
-        scored.append((-(rejected / rows) / cost, rule.name))
-    return [name for _, name in sorted(scored)]
+        rejected = int(np.count_nonzero(rule.rejects(profile)))
+        spent = {**profile._seconds, "test": time.perf_counter() - began - sum(profile._seconds.values())}
+        out += [(rule.name, name, seconds, rejected, len(column)) for name, seconds in spent.items()]
+    return out
+
+
+def plan(costs: dict[str, Cost]) -> list[str]:
+    """Rule names, each time the one with the most rejections a second that it adds; ties by name."""
+    left, known, order = dict(costs), set(), []
+    while left:
+
+        def gain(name: str) -> float:
+            cost = left[name]
+            added = sum(s for statistic, s in cost.seconds.items() if statistic == "test" or statistic not in known)
+            return cost.rejected / max(cost.rows, 1) / max(added, 1e-9)
+
+        best = min(left, key=lambda name: (-gain(name), name))
+        known.update(left.pop(best).seconds)
+        order.append(best)
+    return order
 
 
 def passes(column: pa.Array, rules: list[Rule]) -> np.ndarray:
-    """Rows that no rule rejects; later rules see only what earlier ones left."""
-    left = np.arange(len(column))
-    profile = Profile(column)
+    """Rows that no rule rejects."""
+    out = np.zeros(len(column), bool)
+    left, alive = np.arange(len(column)), np.ones(len(column), bool)
+    profile, size = Profile(column), np.diff(K.utf8(column)[1])
     for rule in rules:
-        if not len(left):
+        if not alive.any():
             break
-        kept = ~rule.rejects(profile)
-        if not kept.all():
-            left = left[kept]
-            profile = Profile(column.take(pa.array(left)))
-    out = np.zeros(len(column), bool)
-    out[left] = True
+        if not alive.all() and 2 * int(size[alive].sum()) <= int(size.sum()):
+            left, size, column = left[alive], size[alive], column.take(pa.array(np.flatnonzero(alive)))
+            profile, alive = Profile(column), np.ones(len(left), bool)
+        alive &= ~rule.rejects(profile)
+    out[left[alive]] = True
     return out
 
 
 def ordered(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules in the order that the sample's estimates give."""
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(text).alias("text")).limit(sample_rows).collect()
-    names = plan(pa.array([r[0] for r in rows], pa.large_string()), rules)
-    return sorted(rules, key=lambda rule: names.index(rule.name))
+    total = max(docs.count(), 1)
+    parts = 1 << 20
+    chosen = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(parts)) < min(parts, -(-sample_rows * parts // total)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
+        for batch in batches:
+            for part in K.slices(batch, "text"):
+                columns = zip(*measure(part.column("text"), rules), strict=True)
+                kinds = (pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["rule", "statistic", "seconds", "rejected", "n_rows"])
+
+    found = chosen.mapInArrow(run, "rule string, statistic string, seconds double, rejected long, n_rows long")
+    sums = found.groupBy("rule", "statistic").agg(F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected"), F.sum("n_rows").alias("n_rows")).collect()
+    costs = {rule.name: Cost(0, 0, {}) for rule in rules}
+    for r in sums:
+        costs[r["rule"]] = Cost(r["n_rows"], r["rejected"], {**costs[r["rule"]].seconds, r["statistic"]: r["seconds"]})
+    place = {name: k for k, name in enumerate(plan(costs))}
+    return sorted(rules, key=lambda rule: place[rule.name])
 
 
 def assess(docs: DataFrame, verdict: tuple[Rule, ...] = VERDICT, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -78,6 +78,18 @@ def quality(text):
     return len(words), chars, symbols, dup, len(covered), failed
 
 
+def quality_keeps(text):
+    """The method's verdict on a text that the base rule does not fail."""
+    text = text or ""
+    n, chars, symbols, dup, _, _ = quality(text)
+    words = spaced(text, fold=False)
+    digits = sum(c in "0123456789" for c in text)
+    doubled = sum(a == b for a, b in zip(words, words[1:]))
+    lines = sum(bool(SPACED.search(line)) for line in text.split("\n"))
+    bad = 10 * symbols > 3 * n or chars < 2 * n or chars > 25 * n or 10 * digits > 6 * chars or 10 * doubled > 3 * n
+    return not (bad or (lines >= 4 and 10 * dup > 4 * lines))
+
+
 ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 

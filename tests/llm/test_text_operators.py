@@ -2,7 +2,7 @@ import hashlib
 import random
 
 import pytest
-from brute import alnum, base_places, base_spans, components, contaminated, quality
+from brute import alnum, base_places, base_spans, components, contaminated, quality, quality_keeps
 from pyspark.sql import functions as F
 
 from lodestack.llm import bpe, decontam, langid, licenses, neardup, registry, secrets
@@ -223,12 +223,14 @@ def test_components_of_links(spark):
 
 
 def test_quality_counts(spark, small):
-    docs = [*EDGES, (30, "same line here\nsame line here\n \n \nother line"), (31, "a b c d e a b c d e q r s t u v w x y z"), *((r["doc_id"] + 100, r["text"]) for r in documents(spark, small).collect())]
+    docs = [*EDGES, (30, "same line here\nsame line here\n \n \nother line"), (31, "a b c d e a b c d e q r s t u v w x y z"), (32, "x % y # z $ w & k | l * m > n < o p q r s"), (33, "q w e r t z u i o p a s"), (34, "12 345 6789 12 34 567 89 1234 5 678 9 w"), (35, "so so so well well then then go go go on on"), (36, "a b c\na b c\na b c\nd e f\ng h i j"), (37, " ".join("x" * 30 + str(i) for i in range(12))), *((r["doc_id"] + 100, r["text"]) for r in documents(spark, small).collect())]
     extra = frame(spark, docs).withColumn("n_words", F.lit(None).cast("string"))
     rows = quality_rules.assess(extra).collect()
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert sorted((r["doc_id"], *(r[f] for f in fields)) for r in rows) == sorted((i, *quality(t)) for i, t in docs)
-    assert not any(r["kept"] for r in rows if r["base_failed"])
+    texts = dict(docs)
+    assert all(r["kept"] == (not r["base_failed"] and quality_keeps(texts[r["doc_id"]])) for r in rows)
+    assert len({r["kept"] for r in rows if not r["base_failed"]}) == 2
 
 
 def test_quality_order_changes_no_verdict(spark, small):
@@ -238,7 +240,11 @@ def test_quality_order_changes_no_verdict(spark, small):
     rules = quality_rules.BASE + quality_rules.VERDICT
     want = quality_rules.passes(texts, list(rules))
     assert (quality_rules.passes(texts, list(reversed(rules))) == want).all()
-    assert sorted(quality_rules.plan(texts, rules)) == sorted(r.name for r in rules)
+    order = quality_rules.ordered(documents(spark, small), rules)
+    assert sorted(r.name for r in order) == sorted(r.name for r in rules)
+    # A statistic that an earlier rule computed costs no more; without it the cheap rule would be last.
+    cost = lambda rejected, **seconds: quality_rules.Cost(100, rejected, seconds)
+    assert quality_rules.plan({"a": cost(50, words=1.0, test=0.1), "b": cost(10, words=1.0, test=0.01), "c": cost(20, lines=1.5, test=0.1), "d": cost(0)}) == ["a", "b", "c", "d"]
     kept = quality_rules.filter_documents(documents(spark, small))
     assert kept.columns == documents(spark, small).columns and kept.count() == int(want[len(EDGES) :].sum())
     assert quality_rules.assess(frame(spark, [])).count() == 0
