@@ -150,7 +150,7 @@ def test_sharded_files(spark, tmp_path):
 def test_queries_match_their_sql(spark, small):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for name in ("pages", "conversations"):
+    for name in ("pages", "conversations", "documents", "benchmark"):
         con.sql(f"create view {name} as select * from '{small}/{name}.parquet'")
     for name, sql in registry.ORACLE_SQL.items():
         df = registry.QUERIES[name](spark, small)
