@@ -200,6 +200,7 @@ def test_plugins(project, monkeypatch):
     monkeypatch.setattr(U, "QUERIES_MOST", 2)
     with pytest.raises(U.PluginError):
         U.Host(project, manifest).query("search_code", query="const")
+    monkeypatch.undo()
     for bad in ("[]", "{", text.replace('"tools"', '"tool"'), text.replace("search_code", "open_apk"), text.replace("2", "1"), text.replace('"a.b"', '"A B"')):
         with pytest.raises(U.PluginError):
             U.Manifest.load(bad)
