@@ -25,43 +25,66 @@ from .store import Steps
 
 @dataclass(frozen=True)
 class Field:
-    """A property of a tool's arguments; bounds are on a number's value or a string's length."""
+    """A property of a tool's arguments: string, integer, number, boolean, array or object.
+
+    Bounds are on a number's value, a string's length or an array's size.  `choices` lists the strings that are allowed, `items` is what
+    each element of an array must be, `fields` what an object holds; further properties are allowed.
+    """
 
     kind: str
     required: bool = True
-    least: int | None = None
-    most: int | None = None
+    least: float | None = None
+    most: float | None = None
+    choices: tuple[str, ...] = ()
+    items: Field | None = None
+    fields: dict[str, Field] | None = None
 
 
 Schemas = dict[str, dict[str, Field]]
+#: How the type of a variant's value begins, for each kind.
+_SHAPES = {"string": r"STRING$", "integer": r"BIGINT$", "number": r"(BIGINT$|DOUBLE$|FLOAT$|DECIMAL)", "boolean": r"BOOLEAN$", "array": r"ARRAY<", "object": r"OBJECT<"}
+
 
+def _get(value: Column, path: str, kind: str) -> Column:
+    return F.try_variant_get(value, path, kind)
 
-def _field_holds(arguments: Column, name: str, field: Field) -> Column:
-    raw = F.try_variant_get(arguments, f"$.{name}", "variant")
-    shape = F.schema_of_variant(raw)
-    kinds = {"string": ["STRING"], "integer": ["BIGINT"], "boolean": ["BOOLEAN"]}[field.kind]
-    good = shape.isin(kinds)
-    if field.kind == "integer":
-        measure = F.try_variant_get(arguments, f"$.{name}", "bigint")
+
+def _holds(value: Column, field: Field) -> Column:
+    """Whether a variant is of the field's kind and meets its bounds."""
+    good = F.schema_of_variant(value).rlike("^" + _SHAPES[field.kind])
+    parts = _get(value, "$", "array<variant>")
+    if field.kind in ("integer", "number"):
+        measure = _get(value, "$", "bigint" if field.kind == "integer" else "double")
     else:
-        measure = F.char_length(F.try_variant_get(arguments, f"$.{name}", "string")).cast("long")
+        measure = F.size(parts) if field.kind == "array" else F.char_length(_get(value, "$", "string"))
     if field.least is not None:
         good = good & (measure >= field.least)
     if field.most is not None:
         good = good & (measure <= field.most)
-    missing = raw.isNull()
-    return F.when(missing, F.lit(not field.required)).otherwise(F.coalesce(good, F.lit(False)))
+    if field.choices:
+        good = good & _get(value, "$", "string").isin(*field.choices)
+    if field.items is not None:
+        good = good & F.forall(parts, lambda v: _holds(v, field.items))
+    if field.fields is not None:
+        good = good & _properties(value, field.fields)
+    return F.coalesce(good, F.lit(False))
+
+
+def _properties(value: Column, fields: dict[str, Field]) -> Column:
+    """Whether an object has the properties that it must, each as it must be."""
+    out = F.lit(True)
+    for name, field in sorted(fields.items()):
+        quoted = name.replace("\\", "\\\\").replace("'", "\\'")
+        raw = _get(value, f"$['{quoted}']", "variant")
+        out = out & F.when(raw.isNull(), F.lit(not field.required)).otherwise(_holds(raw, field))
+    return out
 
 
 def valid(arguments: Column, tool: Column, schemas: Schemas) -> Column:
     """Whether a variant is an object that meets its tool's schema (further properties are allowed)."""
     out = F.lit(False)
-    shape = F.schema_of_variant(arguments).startswith("OBJECT")
     for name, fields in sorted(schemas.items()):
-        holds = F.coalesce(shape, F.lit(False))
-        for field, spec in sorted(fields.items()):
-            holds = holds & _field_holds(arguments, field, spec)
-        out = F.when(tool == name, holds).otherwise(out)
+        out = F.when(tool == name, _holds(arguments, Field("object", fields=fields))).otherwise(out)
     return F.coalesce(out, F.lit(False))
 
 
@@ -80,10 +103,10 @@ def depths(calls: DataFrame, steps: Steps) -> DataFrame:
         last = steps.write(free.withColumn("depth", F.lit(level)))
         if not last.limit(1).count():
             break
-        grown = steps.write(done.unionByName(last))
+        steps.append(done, last)
         steps.drop(waits)
-        waits, done = rest, grown
-    return done
+        waits = rest
+    return steps.read(done)
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:

@@ -48,6 +48,16 @@ class Steps:
         out._written_to = path
         return out
 
+    def append(self, table: DataFrame, more: DataFrame) -> None:
+        """Add rows to a written table; `read` gives them all."""
+        more.select(table.columns).write.mode("append").parquet(table._written_to)
+
+    def read(self, table: DataFrame) -> DataFrame:
+        """A written table as it is now."""
+        out = self.spark.read.schema(table.schema).parquet(table._written_to)
+        out._written_to = table._written_to
+        return out
+
     def release(self) -> None:
         """Let Spark remove the shuffle files of steps that nothing refers to any more."""
         gc.collect()

@@ -83,6 +83,25 @@ def test_tool_calls(spark):
     assert linked(spark, [], []) == {}
 
 
+def test_schemas_of_every_kind(spark):
+    Field = chat.Field
+    tools = {
+        "t": {
+            "n": Field("number", False, 0.5, 2),
+            "e": Field("string", False, choices=("on", "off")),
+            "l": Field("array", False, 1, 2, items=Field("integer", True, 1)),
+            "o": Field("object", False, fields={"a b": Field("string"), "deep": Field("object", False, fields={"x": Field("boolean")})}),
+            "m": Field("array", False, items=Field("array", items=Field("string", most=2))),
+        }
+    }
+    good = ['{}', '{"n": 1}', '{"n": 0.5}', '{"n": 1.25e0}', '{"e": "on"}', '{"l": [1]}', '{"l": [1, 2], "further": [null]}', '{"o": {"a b": ""}}', '{"o": {"a b": "x", "deep": {"x": true}}}', '{"m": []}', '{"m": [[], ["a", "bc"]]}']
+    bad = ['{"n": "1"}', '{"n": 2.5}', '{"n": null}', '{"e": "On"}', '{"e": 1}', '{"l": []}', '{"l": [0]}', '{"l": [1, "2"]}', '{"l": [1, 2, 3]}', '{"l": {"0": 1}}', '{"o": {}}', '{"o": []}', '{"o": {"a b": "x", "deep": {}}}', '{"o": {"a b": "x", "deep": {"x": 1}}}', '{"m": [["abc"]]}', '{"m": ["a"]}', '[]', '"t"', '{"l": [null]}']
+    calls = [(1, k, f"c{k}", "t", text, []) for k, text in enumerate(good + bad)]
+    frame = spark.createDataFrame(calls, CALLS).withColumns({"depth": F.lit("x"), "used": F.lit(1), "answer": F.lit(2), "c": F.lit(3), "valid": F.lit(4)})
+    rows = chat.link(frame, spark.createDataFrame([], RESULTS).withColumn("answer_turn", F.lit(0)), tools).collect()
+    assert {r["turn"] for r in rows if r["valid"]} == set(range(len(good)))
+
+
 def check_whole_texts(rows, talk):
     """Each call holds its message, and each linked one the answer's, to the last character."""
     import json
