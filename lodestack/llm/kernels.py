@@ -7,6 +7,7 @@ and splitting code points give the same words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import TypeVar
@@ -27,6 +28,8 @@ ALNUM = ((_codes >= 0x30) & (_codes <= 0x39)) | ((_codes >= 0x61) & (_codes <= 0
 
 
 _held: dict[str, object] = {}
+#: Gives free pages of the C heap back to the system, where the C library has it.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def hold(name: str, build: Callable[[], T]) -> T:
@@ -41,6 +44,8 @@ def release() -> None:
     """Let go of it: workers are reused, and what one operator keeps would weigh on the next."""
     _held.clear()
     pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -170,7 +170,8 @@ def _by_block(blocks: DataFrame, columns: list[str], work, schema: str) -> DataF
         if held is not None:
             each(held, np.array([0, held.num_rows]))
         yield from found
-        pa.default_memory_pool().release_unused()
+        held = None
+        K.release()
 
     together = blocks.select("block", *columns).repartition("block").sortWithinPartitions("block")
     return together.mapInArrow(run, schema)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 
 #: Bytes of an Arrow batch: it is held by the JVM, by the Python worker, and in what is made of it.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
