@@ -39,7 +39,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks, pattern = vocabulary()
     # Workers that go through all stages remember less than those that only tokenize.
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", digest.alias("_digest"), "text"), ranks, pattern, memory=100_000, decoded=True)
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", digest.alias("_digest"), "text"), ranks, pattern, memory=30_000, decoded=True)
     exact = F.when(F.sha2("decoded", 256) == F.col("_digest"), F.size("ids").cast("long")).otherwise(F.raise_error(F.lit("ids do not decode to their text")))
     return coded.select("doc_id", "lang", "source", exact.alias("n_tokens"), "ids")
 
