@@ -160,18 +160,34 @@ def constant_arguments(methods: DataFrame, callee: str | None = None) -> DataFra
 
 
 def forwarders(methods: DataFrame, static: DataFrame) -> DataFrame:
-    """(method_id, target): static methods of at most 64 instructions that only move all they get into one static call and
-    return what it returns; `static` has method_id, ins, returns and words of static methods without handlers."""
+    """(method_id, target): static methods of at most 64 instructions that only move all they get, in its order, into one static
+    call and return what it returns, moved or not; `static` has method_id, ins, returns and words of static methods without handlers."""
 
     def work(method: str, owner: str, body: list[dict]) -> list[tuple]:
         calls = [o for o in body if is_call(o["opcode"])]
         if len(body) > 64 or len(calls) != 1 or calls[0]["opcode"] not in (0x71, 0x77):
             return []
-        moves = {o["opcode"] for o in body} - {calls[0]["opcode"], 0x0A, 0x0B, 0x0C, 0x0E, 0x0F, 0x10, 0x11}
-        same = calls[0]["operand"].rpartition(")")[2] == method.rpartition(")")[2]
-        passed = calls[0]["operand"].partition("(")[2].partition(")")[0] == method.partition("(")[2].partition(")")[0]
-        ordered = list(calls[0]["registers"]) == sorted(set(calls[0]["registers"]))
-        return [(method, calls[0]["operand"])] if not moves and same and passed and ordered else []
+        if calls[0]["operand"].partition("(")[2] != method.partition("(")[2]:
+            return []
+        # What registers hold that hold something else than at entry.
+        held: dict[int, object] = {}
+        given, returned = None, False
+        for one in body:
+            op, regs = one["opcode"], one["registers"]
+            if 0x01 <= op <= 0x09:
+                wide = range(2 if 0x04 <= op <= 0x06 else 1)
+                held.update({regs[0] + n: value for n, value in [(n, held.get(regs[1] + n, regs[1] + n)) for n in wide]})
+            elif is_call(op):
+                given = [held.get(r, r) for r in regs]
+            elif op in (0x0A, 0x0B, 0x0C) and given is not None:
+                held.update({regs[0]: "result", regs[0] + 1: "high"} if op == 0x0B else {regs[0]: "result"})
+            elif 0x0E <= op <= 0x11:
+                returned = op == 0x0E or held.get(regs[0]) == "result"
+                break
+            else:
+                return []
+        # With moves alone nothing but parameters is set before the call, so as many words in their order are all of them.
+        return [(method, calls[0]["operand"])] if returned and given is not None and given == sorted(set(given)) else []
 
     some = methods.join(static.select("method_id"), "method_id", "left_semi")
     return _per_method(some, work, "method_id string, target string", ["method_id", "target"], [pa.string(), pa.string()])

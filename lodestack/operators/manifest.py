@@ -31,7 +31,7 @@ def components(xml_nodes: DataFrame, doc: str = "doc") -> DataFrame:
     grouped = filters.groupBy(doc, "idx").agg(F.collect_list(entry).alias("_filters"))
     listed = F.array_sort(F.col("_filters"), lambda a, b: a["_filter"].cast("int") - b["_filter"].cast("int"))
     part = n.where(F.col("tag").isin(*KINDS)).join(grouped.select(doc, "idx", listed.alias("filters")), [doc, "idx"], "left")
-    part = part.join(F.broadcast(application), doc, "left").join(F.broadcast(root), doc, "left").join(F.broadcast(sdk), doc, "left")
+    part = part.join(application, doc, "left").join(root, doc, "left").join(sdk, doc, "left")
     has = F.coalesce(F.size("filters") > 0, F.lit(False))
     target_sdk = F.coalesce(F.col("_sdk"), F.lit("1")).try_cast("int") if hasattr(Column, "try_cast") else F.expr("try_cast(coalesce(_sdk, '1') as int)")
     declared, kind = attribute("android:exported"), F.col("tag")

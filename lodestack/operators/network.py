@@ -63,7 +63,7 @@ def structural_stack(fields: DataFrame, methods: DataFrame) -> DataFrame:
     """Roles of a stack found by shape alone: headers, url, and requests that hold exactly one of each and a String."""
     heads, urls = header_shapes(fields, methods), url_shapes(fields, methods)
     roles = heads.unionByName(urls).select(F.concat(F.lit("L"), F.translate("class_id", ".", "/"), F.lit(";")).alias("type"), "role")
-    held = fields.where("not is_static").join(F.broadcast(roles), "type", "left").groupBy("class_id").agg(
+    held = fields.where("not is_static").join(roles, "type", "left").groupBy("class_id").agg(
         F.sum((F.col("role") == "headers").cast("long")).alias("h"), F.sum((F.col("role") == "url").cast("long")).alias("u"), F.sum((F.col("type") == "Ljava/lang/String;").cast("long")).alias("s")
     )
     request = held.where("h = 1 and u = 1 and s = 1").select("class_id", F.lit("request").alias("role"))

@@ -320,3 +320,30 @@ def test_whole_words_of_every_language(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").collect()
     want = {r["doc_id"]: n for r in docs if (n := len(re.findall(r"\bthe\b", r["text"] or "")))}
     assert {r["doc_id"]: r["n_words"] for r in catalog.QUERIES["whole_word_all_languages"](spark, small).collect()} == want
+
+
+def test_forwarders_follow_moves_to_the_call_and_the_result(spark):
+    from lodestack.operators import dataflow as D
+
+    def body(method, *steps):
+        return [(method, method.partition("(")[0].rpartition(".")[0], pc, op, regs, "b.B.g(IJ)I" if op == 0x71 else None) for pc, (op, regs) in enumerate(steps)]
+
+    call, result, back = (0x71, [3, 4, 5]), (0x0A, [0]), (0x0F, [0])
+    cases = {
+        "a.A.plain(IJ)I": [call, result, back],
+        "a.A.moved(IJ)I": [(0x01, [0, 3]), (0x04, [1, 4]), (0x71, [0, 1, 2]), (0x0A, [1]), (0x01, [0, 1]), back],
+        "a.A.overlap(IJ)I": [(0x04, [6, 4]), (0x04, [5, 6]), (0x71, [3, 5, 6]), result, back],
+        "a.A.swapped(IJ)I": [(0x71, [4, 5, 3]), result, back],
+        "a.A.other_result(IJ)I": [call, (0x0F, [3])],
+        "a.A.no_return(IJ)I": [call, result],
+        "a.A.constant(IJ)I": [(0x12, [3]), call, result, back],
+        "a.A.twice(IJ)I": [call, call, result, back],
+        "a.A.other_type(IJ)J": [call, (0x0B, [0]), (0x10, [0])],
+        "a.A.early(IJ)I": [result, call, back],
+    }
+    rows = [row for method, steps in cases.items() for row in body(method, *steps)]
+    facts = spark.createDataFrame(rows, "method_id string, class_id string, pc long, opcode long, registers array<long>, operand string")
+    missing = {"name": "string", "literal": "long", "pool": "string", "target": "long", "catches": "array<long>"}
+    facts = facts.selectExpr("*", *[f"cast(null as {kind}) as {name}" for name, kind in missing.items()])
+    found = D.forwarders(D.bodies(facts), facts.select("method_id").distinct())
+    assert {r["method_id"] for r in found.collect()} == {"a.A.plain(IJ)I", "a.A.moved(IJ)I", "a.A.overlap(IJ)I"}
