@@ -85,14 +85,8 @@ def regex_counts(spark, sf_dir):
     return Q.counts(read(spark, sf_dir, "pages"), "page_id", "html", "<p>|x*", use_regex=True)
 
 
-@query("""SELECT doc_id, CAST(len(regexp_extract_all(text, '\\bthe\\b')) AS BIGINT) AS n_words FROM documents WHERE lang = 'en' AND regexp_matches(text, '\\bthe\\b')""")
-def whole_word_occurrences(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where("lang = 'en'")
-    return docs.select("doc_id", T.whole_word(F.col("text"), "the").alias("n_words")).where("n_words > 0")
-
-
 @query("""SELECT doc_id, n_words FROM (SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+'), lambda w: w = 'the')) AS BIGINT) AS n_words FROM documents) WHERE n_words > 0""")
-def whole_word_all_languages(spark, sf_dir):
+def whole_word_occurrences(spark, sf_dir):
     """Whole words of all documents, also of those without a language; word characters are Unicode's."""
     return read(spark, sf_dir, "documents").select("doc_id", T.whole_word(F.col("text"), "the").alias("n_words")).where("n_words > 0")
 
@@ -119,9 +113,9 @@ def ordered_digest(spark, sf_dir):
 
 
 @query("""SELECT doc_id, bytes, position, running FROM (SELECT doc_id, octet_length(encode(text)) AS bytes, row_number() OVER (ORDER BY doc_id) - 1 AS position,
-  CAST(sum(octet_length(encode(text))) OVER (ORDER BY doc_id) AS BIGINT) AS running FROM documents WHERE lang = 'fr') WHERE running <= 65536""")
+  CAST(sum(octet_length(encode(text))) OVER (ORDER BY doc_id) AS BIGINT) AS running FROM documents) WHERE running <= 65536""")
 def byte_budget_page(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where("lang = 'fr'")
+    docs = read(spark, sf_dir, "documents")
     return P.page_by_bytes(docs.select("doc_id", "text"), ["doc_id"], F.octet_length("text")).select("doc_id", F.col("bytes"), "position", "running")
 
 
@@ -522,22 +516,11 @@ def root_resolution(spark, sf_dir):
 # Resources and markup.
 
 
-@query("""WITH w AS (SELECT DISTINCT source, 'es' AS lang FROM documents), v AS (SELECT source, lang, min(doc_id) AS v FROM documents WHERE doc_id % 7 <> 0 GROUP BY 1, 2)
-SELECT w.source, w.lang, coalesce(a.v, b.v) AS value, CASE WHEN a.v IS NOT NULL THEN false WHEN b.v IS NOT NULL THEN true END AS inherited
-FROM w LEFT JOIN v a ON a.source = w.source AND a.lang = w.lang LEFT JOIN v b ON b.source = w.source AND b.lang = 'en'""")
-def config_fallback(spark, sf_dir):
-    """The value of a configuration, else of the default one."""
-    docs = read(spark, sf_dir, "documents")
-    wanted = docs.select("source", F.lit("es").alias("lang")).distinct()
-    variants = docs.where("doc_id % 7 <> 0").groupBy("source", "lang").agg(F.min("doc_id").alias("v"))
-    return X.with_fallback(wanted, variants, "source", "lang", "v", "en")
-
-
 @query("""WITH w AS (SELECT DISTINCT o_custkey, 'P' AS status FROM orders), v AS (SELECT o_custkey, o_orderstatus, min(o_orderkey) AS v FROM orders GROUP BY 1, 2)
 SELECT w.o_custkey, w.status, coalesce(a.v, b.v) AS value, CASE WHEN a.v IS NOT NULL THEN false WHEN b.v IS NOT NULL THEN true END AS inherited
 FROM w LEFT JOIN v a ON a.o_custkey = w.o_custkey AND a.o_orderstatus = w.status LEFT JOIN v b ON b.o_custkey = w.o_custkey AND b.o_orderstatus = 'O'""")
-def config_fallback_gaps(spark, sf_dir):
-    """The same over all rows, with gaps of the data: some customers have no order in P, and some of those none in O either."""
+def config_fallback(spark, sf_dir):
+    """The value of a configuration, else of the default one, with gaps of the data: some customers have no order in P, and some of those none in O either."""
     orders = read(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderstatus").alias("status"), "o_orderkey")
     wanted = orders.select("o_custkey", F.lit("P").alias("status")).distinct()
     return X.with_fallback(wanted, orders.groupBy("o_custkey", "status").agg(F.min("o_orderkey").alias("v")), "o_custkey", "status", "v", "O")
@@ -554,11 +537,11 @@ def alias_chains(spark, sf_dir):
     return X.follow(read(spark, sf_dir, "customer").where("c_custkey % 10 <> 0").select(k.alias("start"), nxt.alias("next")))
 
 
-@query("""SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<script>.*?</script>|<style>.*?</style>', '<script></script>', 'g'), '(?s)<!--.*?-->', '', 'g'), '<(li|b|br|article|nav|h1)[ >/]', 1)) AS tag FROM pages) GROUP BY ALL""")
+@query("""SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<(script|style)>.*?</(script|style)>', '<\\1>', 'g'), '(?s)<!--.*?-->', '', 'g'), '<([a-z][a-z0-9]*)[ >/]', 1)) AS tag FROM pages) GROUP BY ALL""")
 def html_nodes(spark, sf_dir):
     """Elements of pages that are no XML."""
     found = K.nodes(read(spark, sf_dir, "pages"), "page_id", "html", html=True)
-    return found.where(F.col("tag").isin("li", "b", "br", "article", "nav", "h1")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+    return found.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT doc_id, line, content FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE contains(content, 'ationth')""")
@@ -567,26 +550,26 @@ def xml_lines(spark, sf_dir):
 
 
 def _manifests(spark, sf_dir) -> DataFrame:
-    """One manifest a nation: an activity, an alias to it, a service and a provider, with routes from its customers."""
-    nations = read(spark, sf_dir, "nation")
-    n = F.col("n_nationkey").cast("string")
-    exported = F.when(F.col("n_nationkey") % 3 == 0, F.lit(' android:exported="true"')).when(F.col("n_nationkey") % 3 == 1, F.lit(' android:exported="false"')).otherwise(F.lit(""))
+    """One manifest a supplier: an activity, an alias to it, a service and a provider, with a route."""
+    suppliers = read(spark, sf_dir, "supplier")
+    n = F.col("s_suppkey").cast("string")
+    exported = F.when(F.col("s_suppkey") % 3 == 0, F.lit(' android:exported="true"')).when(F.col("s_suppkey") % 3 == 1, F.lit(' android:exported="false"')).otherwise(F.lit(""))
     xml = F.concat(
-        F.lit('<manifest package="app.n'), n, F.lit('"><uses-sdk android:minSdkVersion="'), (F.col("n_nationkey") + 10).cast("string"),
+        F.lit('<manifest package="app.n'), n, F.lit('"><uses-sdk android:minSdkVersion="'), (F.col("s_suppkey") % 25 + 10).cast("string"),
         F.lit('"/><application android:permission="app.PERM"><activity android:name=".Main"'), exported,
         F.lit('><intent-filter><action android:name="android.intent.action.MAIN"/><category android:name="android.intent.category.LAUNCHER"/></intent-filter><intent-filter><data android:scheme="https" android:host="h'), n,
         F.lit('.example.com"/><data android:pathPrefix="/open"/></intent-filter></activity><activity-alias android:name="Door" android:targetActivity=".Main"/><service android:name="x.y.Work" android:permission="" android:enabled="'),
-        (F.col("n_regionkey") > 1).cast("string"), F.lit('"/><provider android:name=".Data" android:permission="@string/p"/></application></manifest>'),
+        (F.col("s_suppkey") % 5 > 1).cast("string"), F.lit('"/><provider android:name=".Data" android:permission="@string/p"/></application></manifest>'),
     )
-    return nations.select(F.concat(F.lit("m"), n).alias("doc"), xml.alias("text"))
+    return suppliers.select(F.concat(F.lit("m"), n).alias("doc"), xml.alias("text"))
 
 
-_MANIFEST_SQL = """WITH n AS (SELECT 'm' || n_nationkey AS doc, n_nationkey AS k, n_regionkey AS r, 'app.n' || n_nationkey AS p FROM nation),
+_MANIFEST_SQL = """WITH n AS (SELECT 'm' || s_suppkey AS doc, s_suppkey AS k, s_suppkey % 25 + 10 AS sdk, s_suppkey % 5 AS r, 'app.n' || s_suppkey AS p FROM supplier),
 c AS (
-  SELECT doc, 'activity' AS kind, p || '.Main' AS name, CASE k % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE CASE WHEN k + 10 >= 31 THEN NULL ELSE true END END AS exported, true AS enabled, 'app.PERM' AS permission, true AS launcher FROM n
+  SELECT doc, 'activity' AS kind, p || '.Main' AS name, CASE k % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE CASE WHEN sdk >= 31 THEN NULL ELSE true END END AS exported, true AS enabled, 'app.PERM' AS permission, true AS launcher FROM n
   UNION ALL SELECT doc, 'activity-alias', p || '.Door', false, true, 'app.PERM', false FROM n
   UNION ALL SELECT doc, 'service', 'x.y.Work', false, r > 1, NULL, false FROM n
-  UNION ALL SELECT doc, 'provider', p || '.Data', k + 10 <= 16, true, NULL, false FROM n)
+  UNION ALL SELECT doc, 'provider', p || '.Data', sdk <= 16, true, NULL, false FROM n)
 """
 
 
@@ -605,7 +588,7 @@ def manifest_counts(spark, sf_dir):
     return A.record_counts(records, "kind", F.col("exported"))
 
 
-@query("""SELECT 'm' || n_nationkey AS doc, 'https://h' || n_nationkey || '.example.com/open' AS uri FROM nation WHERE n_nationkey = 7""")
+@query("""SELECT 'm' || s_suppkey AS doc, 'https://h' || s_suppkey || '.example.com/open' AS uri FROM supplier WHERE s_suppkey = 7""")
 def manifest_routes(spark, sf_dir):
     """Components with one filter that meets host, scheme and path together."""
     records = MF.components(K.nodes(_manifests(spark, sf_dir), "doc", "text"))
@@ -613,9 +596,9 @@ def manifest_routes(spark, sf_dir):
     return found.select("doc", F.explode(F.filter(F.transform("filters", lambda f: MF.literal_uri(f["data"])), lambda u: u.isNotNull())).alias("uri"))
 
 
-@query(_MANIFEST_SQL + "SELECT name, kind FROM c WHERE doc = 'm4' AND exported IS NOT DISTINCT FROM false")
+@query(_MANIFEST_SQL + "SELECT name, kind FROM c WHERE exported IS NOT DISTINCT FROM false")
 def manifest_filter(spark, sf_dir):
-    records = MF.components(K.nodes(_manifests(spark, sf_dir), "doc", "text")).where("doc = 'm4'")
+    records = MF.components(K.nodes(_manifests(spark, sf_dir), "doc", "text"))
     return MF.select_components(records, exported=False, fields=["name", "kind"])
 
 

@@ -319,7 +319,7 @@ def test_whole_words_of_every_language(spark, small):
     assert {r["t"]: r["n"] for r in got if r["t"]} == {"the été the": 2, "thé the": 1, "éthe theé the_ 9the the9 the": 1, "the\u0301 the": 1, "the-the (the)": 3}
     docs = spark.read.parquet(f"{small}/documents.parquet").collect()
     want = {r["doc_id"]: n for r in docs if (n := len(re.findall(r"\bthe\b", r["text"] or "")))}
-    assert {r["doc_id"]: r["n_words"] for r in catalog.QUERIES["whole_word_all_languages"](spark, small).collect()} == want
+    assert {r["doc_id"]: r["n_words"] for r in catalog.QUERIES["whole_word_occurrences"](spark, small).collect()} == want
 
 
 def test_forwarders_follow_moves_to_the_call_and_the_result(spark):
