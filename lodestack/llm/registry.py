@@ -133,8 +133,8 @@ def _derived_calls(talk: DataFrame, arguments: Column, content: Column) -> DataF
     calls = talk.where("role = 'assistant'").select("conv_id", "turn", _call_id(F.col("turn")).alias("call_id"), tool.alias("name"), arguments.alias("arguments"), uses.alias("uses"))
     results = talk.where("role = 'user'").select("conv_id", "turn", _call_id(F.col("turn") - 1).alias("call_id"), content.alias("content"))
     schemas = {
-        "search": {"query": chat.Field("string", True, 8, 60), "limit": chat.Field("integer", True, 1, 9)},
-        "lookup": {"query": chat.Field("string", True, 1, 40), "region": chat.Field("string", False)},
+        "search": {"query": chat.Field("string", True, 8, 2_000), "limit": chat.Field("integer", True, 1, 9)},
+        "lookup": {"query": chat.Field("string", True, 1, 500), "region": chat.Field("string", False)},
         "note": {"query": chat.Field("string", True, 1), "pinned": chat.Field("boolean")},
     }
     return chat.link(calls, results, schemas)
@@ -144,20 +144,8 @@ def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every assistant message as a call, every user message after one as its result.
 
     `conversations` has no calls, so they are derived: the identifier from conversation and turn, the tool from the
-    text's length; every third message uses the call two turns before.  As OP4_SQL states, arguments carry the first 50 of a
-    text's ASCII letters and spaces, results the first 200; `tool_calls_whole_text` carries whole texts.
-    """
-    talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.col("text"), "[^A-Za-z ]", ""), " +", " "))
-    size = F.length("text")
-    arguments = F.concat(F.lit('{"query": "'), F.substring(plain, 1, 50), F.lit('", "pinned": '), (size % 2 == 0).cast("string"), F.lit(', "limit": '), (size % 10).cast("string"), F.lit("}"))
-    return _derived_calls(talk, arguments, F.substring(plain, 1, 200))
-
-
-def tool_calls_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The calls of op4 with every text whole and as it is: JSON-escaped in arguments and results, never cut or stripped.
-
-    A null text has arguments null.
+    text's length; every third message uses the call two turns before.  Arguments and results carry whole texts as they
+    are, JSON-escaped, never cut or stripped; a null text has arguments null.
     """
     talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     size = F.length("text")
@@ -167,21 +155,21 @@ def tool_calls_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = """
 WITH RECURSIVE t AS (
-  SELECT conv_id, turn, role, length(text) AS n, trim(regexp_replace(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')) AS plain FROM conversations),
+  SELECT conv_id, turn, role, length(text) AS n, text FROM conversations),
 c AS (
   SELECT conv_id, turn, md5(concat(conv_id, ':', turn)) AS call_id,
     CASE n % 4 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' WHEN 2 THEN 'note' ELSE 'paint' END AS name,
-    substr(plain, 1, 50) AS query, n % 2 = 0 AS pinned, n % 10 AS lim, CASE WHEN n % 3 = 0 AND turn >= 2 THEN turn - 2 END AS used
+    text AS query, n, n % 2 = 0 AS pinned, n % 10 AS lim, CASE WHEN n % 3 = 0 AND turn >= 2 THEN turn - 2 END AS used
   FROM t WHERE role = 'assistant'),
 o AS (
   SELECT conv_id, turn, 0 AS depth FROM c WHERE used IS NULL
   UNION SELECT c.conv_id, c.turn, o.depth + 1 FROM o JOIN c ON c.conv_id = o.conv_id AND c.used = o.turn),
-r AS (SELECT conv_id, turn - 1 AS turn, min(substr(plain, 1, 200)) AS content FROM t WHERE role = 'user' GROUP BY 1, 2)
+r AS (SELECT conv_id, turn - 1 AS turn, min(text) AS content FROM t WHERE role = 'user' GROUP BY 1, 2)
 SELECT c.conv_id, c.turn, c.call_id, o.depth,
-  coalesce(o.depth IS NOT NULL AND CASE name WHEN 'search' THEN length(query) BETWEEN 8 AND 60 AND lim BETWEEN 1 AND 9
-    WHEN 'lookup' THEN length(query) BETWEEN 1 AND 40 WHEN 'note' THEN length(query) >= 1 ELSE false END, false) AS valid,
-  r.content IS NOT NULL AS linked,
-  '{"arguments":{"limit":' || lim || ',"pinned":' || pinned || ',"query":"' || query || '"},"id":"' || call_id || '","name":"' || name || '","result":' || coalesce('"' || content || '"', 'null') || '}' AS json
+  coalesce(o.depth IS NOT NULL AND CASE name WHEN 'search' THEN n BETWEEN 8 AND 2000 AND lim BETWEEN 1 AND 9
+    WHEN 'lookup' THEN n BETWEEN 1 AND 500 WHEN 'note' THEN n >= 1 ELSE false END, false) AS valid,
+  r.conv_id IS NOT NULL AS linked,
+  '{"arguments":{"limit":' || lim || ',"pinned":' || pinned || ',"query":' || to_json(query) || '},"id":"' || call_id || '","name":"' || name || '","result":' || coalesce(to_json(content), 'null') || '}' AS json
 FROM c LEFT JOIN o ON o.conv_id = c.conv_id AND o.turn = c.turn LEFT JOIN r ON r.conv_id = c.conv_id AND r.turn = c.turn
 """
 
@@ -294,5 +282,3 @@ FROM f
 """
 
 ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_tool_calls": OP4_SQL, "op5_near_duplicates": OP5_SQL, "op6_quality": OP6_SQL}
-#: Queries beside those of the operators, without SQL: tests hold them against plain versions.
-MORE = {"tool_calls_whole_text": tool_calls_whole_text}

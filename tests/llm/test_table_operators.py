@@ -115,18 +115,18 @@ def check_whole_texts(rows, talk):
         answer = texts.get((r["conv_id"], r["turn"] + 1, "user"))
         assert made["result"] == answer and r["linked"] == (answer is not None)
         n = len(text)
-        fits = [8 <= n <= 60 and 1 <= n % 10, 1 <= n <= 40, n >= 1, False][n % 4]
+        fits = [8 <= n <= 2000 and 1 <= n % 10, 1 <= n <= 500, n >= 1, False][n % 4]
         assert r["valid"] == (fits and r["depth"] is not None)
 
 
 def test_tool_calls_carry_whole_texts(spark, small, tmp_path):
     talk = spark.read.parquet(f"{small}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()
-    check_whole_texts(registry.tool_calls_whole_text(spark, small).collect(), talk)
+    check_whole_texts(registry.op4_tool_calls(spark, small).collect(), talk)
     odd = [(1, 0, "assistant", 'é "quoted" \\ back\nline ' + "x" * 400 + " 7 end"), (1, 1, "user", 'ñ\t"{}" ' + "y" * 900 + "!"), (1, 2, "assistant", "short"), (2, 0, "assistant", "日本" * 30)]
     spark.createDataFrame(odd, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    rows = registry.tool_calls_whole_text(spark, str(tmp_path)).collect()
+    rows = registry.op4_tool_calls(spark, str(tmp_path)).collect()
     check_whole_texts(rows, spark.read.parquet(str(tmp_path / "conversations.parquet")).collect())
-    text = registry.tool_calls_whole_text(spark, small)._jdf.queryExecution().executedPlan().toString()
+    text = registry.op4_tool_calls(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in text for word in ("Python", "Arrow", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"))
 
 
