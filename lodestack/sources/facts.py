@@ -1,5 +1,6 @@
-"""Fact tables of packages: each file is parsed once, its rows go to one written table and are split by kind.
+"""Fact tables of packages: each file is parsed once, its rows go to one written table, in a folder and a typed struct a kind.
 
+A read of one fact lists its own folder only, prunes the columns it does not need and pushes filters to the files.
 Files are parsed where they are read, member by member; what cannot be read gives a row in `failure`, so that a result can
 say what it does not cover.
 """
@@ -7,12 +8,13 @@ say what it does not cover.
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructType
 
 from . import bytecode as BC
 from .chunks import ChunkError, binary_xml, resource_table
@@ -37,6 +39,9 @@ SCHEMAS = {
     "failure": "path string, part string, reason string",
 }
 
+#: Rows of one kind that go to the JVM together.
+BATCH_ROWS = 2_000
+
 
 def _annotation_id(owner: Class, one: Annotation, k: int) -> str:
     return f"{owner.id}#{k}"
@@ -84,11 +89,14 @@ def dex_rows(data: bytes, dex_id: str) -> Iterator[tuple[str, dict]]:
 
 
 def package_rows(path: str, data: bytes) -> Iterator[tuple[str, dict]]:
-    """Every fact of one file; a container that is refused gives one failure and nothing else."""
+    """Every fact of one file; a container that is refused gives one failure and nothing else.
+
+    A DEX is told apart by its file and its place in it, so that members of one name in two packages never meet.
+    """
     name = path.rpartition("/")[2]
     try:
         if data[:4] == b"dex\n":
-            yield from dex_rows(data, name)
+            yield from dex_rows(data, path)
             return
         box = Container(data, name)
         # A container is whole or refused, so its directory is walked before anything is given out.
@@ -99,7 +107,7 @@ def package_rows(path: str, data: bytes) -> Iterator[tuple[str, dict]]:
             yield "archive_entry", dict(source=one.source, member=one.member, path=one.path, size=one.size, is_package_member=one.is_package_member, kind=kind)
             try:
                 if kind == "dex":
-                    yield from dex_rows(raw, one.path)
+                    yield from dex_rows(raw, f"{path}!{one.path}")
                 elif kind == "resources":
                     origin = one.path.split("/")[1] if one.path.startswith("splits/") else "base"
                     for v in resource_table(raw):
@@ -112,6 +120,24 @@ def package_rows(path: str, data: bytes) -> Iterator[tuple[str, dict]]:
         yield "failure", dict(path=path, part="container", reason=str(error))
 
 
+def _storable(value):
+    """`value` with lone surrogates, which names in a DEX may hold and UTF-8 does not, replaced by question marks."""
+    if isinstance(value, str):
+        return value.encode("utf-8", "replace").decode()
+    return [_storable(v) for v in value] if isinstance(value, list) else value
+
+
+def fact_batch(path: str, kind: str, rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows of one kind: its struct is filled, those of the other kinds are null."""
+    form = schema.field(kind).type
+    try:
+        made = pa.array(rows, form)
+    except UnicodeEncodeError:
+        made = pa.array([{k: _storable(v) for k, v in row.items()} for row in rows], form)
+    given = {"file": pa.array([path] * len(rows), pa.string()), "fact": pa.array([kind] * len(rows), pa.string()), kind: made}
+    return pa.RecordBatch.from_arrays([given[f.name] if f.name in given else pa.nulls(len(rows), f.type) for f in schema], schema=schema)
+
+
 class Facts:
     """The fact tables of the files under a path; `table(name)` is one of SCHEMAS."""
 
@@ -119,25 +145,25 @@ class Facts:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
         if partitions:
             files = files.repartition(partitions, "path")
+        form = StructType().add("file", StringType()).add("fact", StringType())
+        for name, fields in SCHEMAS.items():
+            form = form.add(name, StructType.fromDDL(fields))
+        schema = to_arrow_schema(form)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    held: list[tuple[str, str]] = []
+                    held: dict[str, list[dict]] = {}
                     for kind, row in package_rows(at, data.as_py()):
-                        held.append((kind, json.dumps(row)))
-                        if len(held) >= 5000:
-                            yield _batch(at, held)
-                            held.clear()
-                    if held:
-                        yield _batch(at, held)
-
-        def _batch(at: str, rows: list[tuple[str, str]]) -> pa.RecordBatch:
-            kinds, payloads = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array([at] * len(rows)), pa.array(kinds), pa.array(payloads)], ["file", "fact", "payload"])
+                        rows = held.setdefault(kind, [])
+                        rows.append(row)
+                        if len(rows) >= BATCH_ROWS:
+                            yield fact_batch(at, kind, held.pop(kind), schema)
+                    for kind, rows in held.items():
+                        yield fact_batch(at, kind, rows, schema)
 
         self.spark = spark
-        self.rows = cut(files.mapInArrow(run, "file string, fact string, payload string"), "facts", by="fact")
+        self.rows = cut(files.mapInArrow(run, form), "facts", by="fact")
         self._check()
 
     def _check(self) -> None:
@@ -147,7 +173,7 @@ class Facts:
             raise ContainerError("DUPLICATE_CLASS", twice[0]["class_id"])
 
     def table(self, name: str) -> DataFrame:
-        return self.rows.where(F.col("fact") == name).select(F.from_json("payload", SCHEMAS[name]).alias("r")).select("r.*")
+        return self.rows.where(F.col("fact") == name).select(f"{name}.*")
 
     @property
     def complete(self) -> bool:

@@ -1,11 +1,13 @@
 """Plans that the operators rely on: pruned scans, pushed filters, no Python where none is needed."""
 
+import build as B
 from pyspark.sql import functions as F
 
 from lodestack.operators import graph as G
 from lodestack.operators import paging as P
 from lodestack.operators import references as R
 from lodestack.operators import search as Q
+from lodestack.sources.facts import Facts
 
 
 def plan(df):
@@ -47,3 +49,13 @@ def test_traversal_lineage_is_cut(spark):
     edges = spark.createDataFrame([(f"{i}", f"{i + 1}") for i in range(6)], "source string, target string")
     text = plan(G.walk(edges, spark.createDataFrame([("0",)], "root string"), "callees", 6))
     assert text.count("Scan parquet") >= 1 and "Join" not in text
+
+
+def test_fact_tables_prune_and_push(spark, tmp_path):
+    (tmp_path / "a.dex").write_bytes(B.navigation())
+    wide = Facts(spark, str(tmp_path)).table("dex_instruction")
+    rows = wide.where("opcode = 110").select("method_id", "pc")
+    text = plan(rows)
+    assert "ReadSchema: struct<dex_instruction:struct<method_id:string,pc:bigint,opcode:bigint>>" in text
+    assert "EqualTo(dex_instruction.opcode,110)" in text and "PartitionFilters" in text and "fact" in text and "Python" not in text
+    assert 0 < rows.count() < wide.count()

@@ -7,7 +7,7 @@ from lodestack.operators.paging import ContractError
 from lodestack.project import Project
 from lodestack.sources import datasource
 from lodestack.sources.container import ContainerError
-from lodestack.sources.facts import Facts
+from lodestack.sources.facts import SCHEMAS, Facts, fact_batch
 from lodestack.streaming import jobs
 
 
@@ -120,6 +120,26 @@ def test_failures_and_duplicates(spark, tmp_path):
         Facts(spark, str(tmp_path))
 
 
+def test_packages_with_members_of_one_name(spark, tmp_path):
+    for folder, dex in (("x", B.navigation()), ("y", B.hello())):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "app.apk").write_bytes(B.package({"classes.dex": dex}))
+    both = Project.open(spark, str(tmp_path))
+    pool = lambda c: set(values(both.get_dex_strings(c), "value"))
+    assert "fetchUser" in pool("sample.Api") and "fetchUser" not in pool("sample.Hello") and pool("sample.Hello")
+
+
+def test_facts_hold_any_name(spark):
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL("file string, fact string").add("dex_string", StructType.fromDDL(SCHEMAS["dex_string"])).add("document", StructType.fromDDL(SCHEMAS["document"])))
+    rows = [dict(dex_id="a", idx=0, value="x\ud800y"), dict(dex_id="a", idx=1, value="é\U0001f600")]
+    made = fact_batch("f", "dex_string", rows, schema)
+    assert [r["value"] for r in made.column("dex_string").to_pylist()] == ["x?y", "é\U0001f600"]
+    assert made.column("document").null_count == 2 and made.column("file").to_pylist() == ["f", "f"]
+
+
 def test_data_source(spark, tmp_path):
     (tmp_path / "a.dex").write_bytes(B.navigation())
     (tmp_path / "b.dex").write_bytes(B.hello())
