@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as T
-
-#: Matches of one document that are reported, the earliest ones; the count is always exact.
-MATCHES_PER_DOCUMENT = 10_000
+from lodestack.sources.steps import shared_folder
 
 
 def matches(docs: DataFrame, key: str, text: str, query: str, use_regex: bool = False, case_sensitive: bool = True, per_document: int | None = None) -> DataFrame:
@@ -121,7 +121,7 @@ def usages_in_order(hits: DataFrame, key: str, name: Column, wanted: str, standa
 def trigram_index(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Postings (gram, key): the distinct runs of three code points of every document.
 
-    Write it bucketed by gram to search it without a shuffle.
+    `kept_index` writes it once, so that a query reads the postings of its own trigrams.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,6 +135,28 @@ def trigram_index(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, gram string")
 
 
+def kept_index(spark: SparkSession, source: str, key: str, text: str) -> DataFrame:
+    """The `trigram_index` of the Parquet table at `source`, built once and read from the shared folder from then on.
+
+    Every part of the table gives one segment, sorted by gram where it is made: nothing is shuffled, a frequent gram
+    weighs on no task, and the least and greatest gram of a page let a query skip the others.  The index belongs to the paths, sizes and
+    times of the table's files: once these change, it is built anew.  One that was not written to its end is not read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
+    state = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+    mark = hashlib.sha256(repr((source, key, text, *state)).encode()).hexdigest()[:32]
+    base = f"{shared_folder(spark)}/trigrams-{mark}"
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{base}-*/_SUCCESS")
+    done = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    docs = spark.read.parquet(source)
+    if done:
+        path = min(one.getPath().getParent().toString() for one in done)
+    else:
+        path = f"{base}-{uuid.uuid4().hex}"
+        trigram_index(docs, key, text).sortWithinPartitions("gram", key).write.parquet(path)
+    return spark.read.schema(f"`{key}` {docs.schema[key].dataType.simpleString()}, gram string").parquet(path)
+
+
 def search_indexed(docs: DataFrame, index: DataFrame, key: str, text: str, query: str) -> DataFrame:
     """`counts` by the index: documents that hold all trigrams of the query, then verified on their texts."""
     grams = sorted({query[i : i + 3] for i in range(len(query) - 2)})

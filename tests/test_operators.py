@@ -347,3 +347,17 @@ def test_forwarders_follow_moves_to_the_call_and_the_result(spark):
     facts = facts.selectExpr("*", *[f"cast(null as {kind}) as {name}" for name, kind in missing.items()])
     found = D.forwarders(D.bodies(facts), facts.select("method_id").distinct())
     assert {r["method_id"] for r in found.collect()} == {"a.A.plain(IJ)I", "a.A.moved(IJ)I", "a.A.overlap(IJ)I"}
+
+
+def test_kept_index_follows_its_table(spark, tmp_path):
+    source = str(tmp_path / "docs")
+    write = lambda rows, mode: spark.createDataFrame(rows, "id long, body string").write.mode(mode).parquet(source)
+    found = lambda q: {(r["id"], r["n_matches"]) for r in Q.search_indexed(spark.read.parquet(source), Q.kept_index(spark, source, "id", "body"), "id", "body", q).collect()}
+    write([(1, "a needle, a needle"), (2, "need"), (3, None), (4, "")], "overwrite")
+    assert found("needle") == {(1, 2)} and found("needles") == set() and found("ne") == {(1, 2), (2, 1)}
+    kept = Q.kept_index(spark, source, "id", "body")
+    assert kept.inputFiles() and set(kept.inputFiles()) == set(Q.kept_index(spark, source, "id", "body").inputFiles())
+    plan = kept.where(F.col("gram").isin("nee", "eed"))._jdf.queryExecution().executedPlan().toString()
+    assert "In(gram, [eed,nee])" in plan and "Python" not in plan and "MapInArrow" not in plan
+    write([(5, "the needle")], "append")
+    assert found("needle") == {(1, 2), (5, 1)}
