@@ -629,7 +629,7 @@ def xml_escape(spark, sf_dir):
   CASE WHEN s_suppkey & 16 <> 0 THEN 'privileged' END, CASE WHEN s_suppkey & 32 <> 0 THEN 'development' END, CASE WHEN s_suppkey & 64 <> 0 THEN 'appop' END, CASE WHEN s_suppkey & 128 <> 0 THEN 'pre23' END,
   CASE WHEN s_suppkey & 256 <> 0 THEN 'installer' END, CASE WHEN s_suppkey & 512 <> 0 THEN 'verifier' END], lambda x: x IS NOT NULL), '|') AS protection FROM supplier WHERE s_suppkey < 1024""")
 def protection_levels(spark, sf_dir):
-    """Every key as flags.  The SQL names six of the twelve and ends at key 1023; the given tables have no larger one."""
+    """Every key as flags.  The SQL names six of the twelve and ends at key 1023: on tables with larger keys (sf0.1 ends at 999) it lacks their rows."""
     return read(spark, sf_dir, "supplier").select("s_suppkey", M.protection(F.col("s_suppkey")).alias("protection"))
 
 
